@@ -55,7 +55,15 @@ def minus(a: pd.Series, b: pd.Series) -> pd.Series:
             return _SPARSE + at[_bits(y)[at] == 0].tobytes()
         return _container(_bits(x) & ~_bits(y) & 1)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def raw_minus(a: pd.Series, b: pd.Series) -> pd.Series:
+    """a AND NOT b of two bitmaps from bitmap_construct_agg; a missing b takes nothing away."""
+    return pd.Series(
+        [x if x is None or y is None else (np.frombuffer(x, np.uint8) & ~np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(a, b)], dtype=object
+    )
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -1,4 +1,4 @@
-"""Identifiers and logical clocks as column expressions."""
+"""Identifiers as column expressions."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,13 +14,3 @@ def canonical_id(c: Column) -> Column:
     spelled = F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     return F.when(bare.rlike("^[0-9a-f]{32}$"), spelled).otherwise(t)
 
-
-def clock(v: Column, path: str = "$") -> Column:
-    """Hybrid logical clock of a variant value: wall_ms, counter, device_id compare in this order.
-    Null if one of the two numbers is missing."""
-    wall, counter = (F.try_variant_get(v, f"{path}.{k}", "bigint") for k in ("wall_ms", "counter"))
-    device = F.coalesce(F.try_variant_get(v, f"{path}.device_id", "string"), F.lit(""))
-    return F.when(
-        wall.isNotNull() & counter.isNotNull(),
-        F.struct(wall.alias("wall_ms"), counter.alias("counter"), device.alias("device_id")),
-    )
