@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, tokens
+from engramlake.llm import mixing, tokens, toxicity
 from engramlake.sources import table
 
 
@@ -31,11 +31,32 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+def _severities(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, table(spark, d, "doc_labels"))
+    return toxicity.score_documents(docs.select("doc_id", "text", mixing.source_name(F.col("source")).alias("source")), model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.to_review(_severities(spark, d)).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _severities(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(_severities(spark, d))
+
+
 QUERIES = {
     "p6_ids": p6_ids,
     "p6_totals": p6_totals,
     "p7_selection": p7_selection,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 ORACLE: dict[str, str] = {}
