@@ -3,10 +3,22 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, tokens, toxicity
+from engramlake.llm import mixing, names, tokens, toxicity
 from engramlake.sources import table
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_people(table(spark, d, "people"), table(spark, d, "channel_identities"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs_of_groups(_linked(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -50,6 +62,8 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p6_ids": p6_ids,
     "p6_totals": p6_totals,
     "p7_selection": p7_selection,
