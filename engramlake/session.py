@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: dict[str, str] = {}
+
 
 def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -34,3 +38,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engramlake-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark context, so that a cluster needs no installation."""
+    sc = spark.sparkContext
+    if _shipped.get("to") == sc.applicationId:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="engramlake-")) / "engramlake.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped["to"] = sc.applicationId
