@@ -3,10 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, names, tokens, toxicity
+from engramlake.llm import mixing, names, neardup, tokens, toxicity
 from engramlake.sources import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_pairs(*neardup.near_duplicates(neardup.memory_texts(table(spark, d, "memories"))))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_report(*neardup.near_duplicates(neardup.memory_texts(table(spark, d, "memories"))))
+
+
 def _linked(spark: SparkSession, d: str) -> DataFrame:
     return names.linked_people(table(spark, d, "people"), table(spark, d, "channel_identities"))
 
@@ -62,6 +70,8 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p6_ids": p6_ids,
