@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import mixing, names, neardup, tokens, toxicity
+from engramlake.llm import mixing, names, neardup, pii, tokens, toxicity
 from engramlake.sources import table
 
 
@@ -27,6 +27,22 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    spans, model, _ = pii.detect(table(spark, d, "memories"), table(spark, d, "people"))
+    return pii.found_types(spans, model).select("id", "pii_type")
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    memories = table(spark, d, "memories")
+    _, model, names = pii.detect(memories, table(spark, d, "people"))
+    return pii.redacted(memories.select("id", "content_json").distinct(), model, names)
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    spans, model, _ = pii.detect(table(spark, d, "memories"), table(spark, d, "people"))
+    return pii.found_types(spans, model).groupBy("pii_type").agg(F.count("*").alias("n_memories"), F.sum("n").alias("n_items"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -74,6 +90,9 @@ QUERIES = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
+    "p5_counts": p5_counts,
     "p6_ids": p6_ids,
     "p6_totals": p6_totals,
     "p7_selection": p7_selection,
