@@ -43,6 +43,9 @@ class NearDupConfig:
     probes: int = 13
     #: Odds by which the likelihood must speak against the least overlap for a pair to be left out.
     against: float = 20.0
+    #: Registers of the joint estimate, and the odds by which it must speak against the least overlap.
+    estimated: int = 64
+    strongly_against: float = 1e5
     seed: int = 20250101
 
     @property
@@ -131,22 +134,23 @@ class Sketcher:
 
 _SKETCHED = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("text_class", T.BinaryType()), T.StructField("n_words", T.IntegerType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("probe", T.LongType()), T.StructField("bag", T.BinaryType()),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("probe", T.LongType()), T.StructField("wide", T.BinaryType()),
+    T.StructField("bag", T.BinaryType()),
 ])
 
 
 def sketched(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """(id, text_class, n_words, bands, probe, bag) of (id, text) with enough words.
+    """(id, text_class, n_words, bands, probe, wide, bag) of (id, text) with enough words.
 
     text_class: digest of the multiset, equal for texts that differ by case, punctuation, blanks or order
-    only; bag: sorted 32-bit hashes of the elements. Null, empty and short texts give no row. No shuffle.
+    only; wide: registers for the joint estimate; bag: sorted 32-bit hashes of the elements. Null, empty and short texts give no row. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(config)
         hashed: dict[str, int] = {}
         for batch in batches:
-            ids, classes, sizes, bands, probes, bags = [], [], [], [], [], []
+            ids, classes, sizes, bands, probes, wides, bags = [], [], [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text) if text else []
                 if len(words) < config.min_words or i is None:
@@ -159,18 +163,20 @@ def sketched(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataF
                     if h is None:
                         h = hashed[e] = xxhash.xxh3_64_intdigest(e.encode("utf-8", "surrogatepass"))
                     hs.append(h)
-                key, probe = sketcher.keys(sketcher.sketch(hs))
+                sketch = sketcher.sketch(hs)
+                key, probe = sketcher.keys(sketch)
                 every = np.sort(np.array(hs, np.uint64))
                 ids.append(i)
                 classes.append(hashlib.md5(every.tobytes()).digest())
                 sizes.append(len(hs))
                 bands.append(key)
                 probes.append(probe)
+                wides.append(sketch[: config.estimated].tobytes())
                 bags.append(np.sort((every & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes())
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, config.bands, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(probes, pa.int64()), pa.array(bags, pa.binary())],
+                [pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(probes, pa.int64()), pa.array(wides, pa.binary()), pa.array(bags, pa.binary())],
                 names=[f.name for f in _SKETCHED],
             )
 
@@ -223,13 +229,46 @@ def similar_classes(classes: DataFrame, config: NearDupConfig = NearDupConfig())
 
         return pd.Series([enough_in_common(x, y, config.overlap) for x, y in zip(a, b)], dtype=bool)
 
-    both = (
-        near.join(bag.select(F.col("c").alias("a"), F.col("text_class").alias("ta"), F.col("bag").alias("ba")), "a")
-        .join(bag.select(F.col("c").alias("b"), F.col("text_class").alias("tb"), F.col("bag").alias("bb")), "b")
+    @F.pandas_udf(T.BooleanType())
+    def likely(a, b, n_a, n_b):
+        import pandas as pd
+
+        return pd.Series(near_by_likelihood(list(a), list(b), n_a.to_numpy(float), n_b.to_numpy(float), config), dtype=bool)
+
+    wide = classes.select(_handle().alias("c"), "wide", "n_words")
+    guessed = (
+        near.join(wide.toDF("a", "wa", "na"), "a").join(wide.toDF("b", "wb", "nb"), "b")
+        .where(likely("wa", "wb", "na", "nb")).select("a", "b").distinct()
     )
+    both = guessed.join(bag.toDF("a", "ta", "ba"), "a").join(bag.toDF("b", "tb", "bb"), "b")
     return both.where(verified("ba", "bb")).select(F.least("ta", "tb").alias("class_a"), F.greatest("ta", "tb").alias("class_b"))
 
 
+def near_by_likelihood(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray, config: NearDupConfig) -> np.ndarray:
+    """Whether the least overlap is likely enough, by the joint likelihood of which registers are equal, larger in
+    the one or larger in the other, given both sizes."""
+    if not a:
+        return np.zeros(0, bool)
+    x, y = (np.frombuffer(b"".join(v), np.uint16).reshape(len(v), -1) for v in (a, b))
+    equal, more = (x == y).sum(1), (x > y).sum(1)
+    less = x.shape[1] - equal - more
+    both = n_a + n_b
+    floor = config.overlap * np.maximum(n_a, n_b)
+    least = floor / (both - floor)
+    most = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
+    tie = 1 - 1 / config.base
+
+    def log_likelihood(j: np.ndarray) -> np.ndarray:
+        union = both / (1 + j)
+        common = j * union
+        p_more, p_less = np.maximum(n_a - common, 1e-3) / union, np.maximum(n_b - common, 1e-3) / union
+        return equal * np.log(j + tie * (1 - j)) + more * np.log(p_more * (1 - tie) + 1e-9) + less * np.log(p_less * (1 - tie) + 1e-9)
+
+    best = np.max([log_likelihood(g * most) for g in np.linspace(0.02, 1, 50)], axis=0)
+    near = np.max([log_likelihood(least + g * np.maximum(most - least, 0)) for g in np.linspace(0, 1, 20)], axis=0)
+    return near >= best - math.log(config.strongly_against)
+
+
 def enough_in_common(a: bytes, b: bytes, overlap: float) -> bool:
     """Whether at least the share `overlap` of the longer bag stands in the other."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
@@ -250,7 +289,7 @@ def near_duplicates(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -
     """
     rows = checkpointed(sketched(texts, config))
     members = rows.select("id", "text_class").distinct()
-    first = rows.groupBy("text_class").agg(*[F.first(c).alias(c) for c in ("n_words", "bands", "probe", "bag")])
+    first = rows.groupBy("text_class").agg(*[F.first(c).alias(c) for c in ("n_words", "bands", "probe", "wide", "bag")])
     return members, similar_classes(first, config)
 
 
