@@ -1,3 +1,3 @@
-from engramlake.plans import data_quality
+from engramlake.plans import data_quality, store_queries
 
-REGISTERED = [data_quality]
+REGISTERED = [data_quality, store_queries]

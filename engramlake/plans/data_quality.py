@@ -2,19 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from engramlake.functions.id_sql import canon_sql
 from engramlake.operators import changefeed, orphans
 from engramlake.sources import table
 
-_CANON = r"""CASE WHEN regexp_full_match(regexp_replace(lower(trim({0}, ' \t\r\n')), '^urn:uuid:|[{{}}-]', '', 'g'), '[0-9a-f]{{32}}')
- THEN regexp_replace(regexp_replace(lower(trim({0}, ' \t\r\n')), '^urn:uuid:|[{{}}-]', '', 'g'), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')
- ELSE lower(trim({0}, ' \t\r\n')) END""".replace(r"\t\r\n", "")
-
-
-def canon_sql(expression: str) -> str:
-    """SQL of the canonical form of an id."""
-    return _CANON.format(expression)
-
-
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     memories = table(spark, d, "memories")
     refs = orphans.memory_links(memories).union(orphans.context_references(table(spark, d, "person_context")))
