@@ -46,6 +46,8 @@ class NearDupConfig:
     #: Registers of the joint estimate, and the odds by which it must speak against the least overlap.
     estimated: int = 64
     strongly_against: float = 1e5
+    #: The registers of all classes are broadcast up to this size; beyond it they are joined by a shuffle.
+    broadcast_bytes: int = 64 << 20
     seed: int = 20250101
 
     @property
@@ -206,7 +208,7 @@ def _handle():
     return F.conv(F.substring(F.hex("text_class"), 1, 16), 16, -10).cast("bigint")
 
 
-def similar_classes(classes: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
+def similar_classes(classes: DataFrame, n_classes: int, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """Verified pairs (class_a, class_b), class_a < class_b, of different texts.
 
     classes: one row for each text_class, of `sketched`. A band value that very many texts share is
@@ -236,8 +238,9 @@ def similar_classes(classes: DataFrame, config: NearDupConfig = NearDupConfig())
         return pd.Series(near_by_likelihood(list(a), list(b), n_a.to_numpy(float), n_b.to_numpy(float), config), dtype=bool)
 
     wide = classes.select(_handle().alias("c"), "wide", "n_words")
+    sent = F.broadcast if n_classes * (2 * config.estimated + 64) <= config.broadcast_bytes else lambda df: df
     guessed = (
-        near.join(wide.toDF("a", "wa", "na"), "a").join(wide.toDF("b", "wb", "nb"), "b")
+        near.join(sent(wide.toDF("a", "wa", "na")), "a").join(sent(wide.toDF("b", "wb", "nb")), "b")
         .where(likely("wa", "wb", "na", "nb")).select("a", "b").distinct()
     )
     both = guessed.join(bag.toDF("a", "ta", "ba"), "a").join(bag.toDF("b", "tb", "bb"), "b")
@@ -290,7 +293,7 @@ def near_duplicates(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -
     rows = checkpointed(sketched(texts, config))
     members = rows.select("id", "text_class").distinct()
     first = rows.groupBy("text_class").agg(*[F.first(c).alias(c) for c in ("n_words", "bands", "probe", "wide", "bag")])
-    return members, similar_classes(first, config)
+    return members, similar_classes(first, members.select("text_class").distinct().count(), config)
 
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

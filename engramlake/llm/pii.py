@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramlake.functions.ids import canonical_id
+from engramlake.functions.sampling import bounded_sample
 from engramlake.llm.names import NICKNAMES, TRADES
 from engramlake.session import checkpointed
 
@@ -390,7 +391,8 @@ def fit(spans: DataFrame, config: PiiConfig = PiiConfig()) -> dict:
     regression sees at most max_fit_spans of them."""
     counted = spans.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()  # a few hundred patterns
     odds = {kind: em_odds({r.votes: r.n for r in counted if r.kind == kind}, len(types), config.em_rounds, ANCHORED[kind]) for kind, types in KINDS.items()}
-    sample = spans.select("kind", "votes", "features").orderBy(F.xxhash64("id", "votes", "features"), "id").limit(config.max_fit_spans).collect()
+    sample = bounded_sample(spans.select("id", "kind", "votes", "features"), ["id", "votes", "features"], config.max_fit_spans).collect()
+    sample.sort(key=lambda r: (r.kind, r.votes, r.features))
     model = {}
     for kind, types in KINDS.items():
         rows = [r for r in sample if r.kind == kind]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engramlake.functions.sampling import bounded_sample
 from engramlake.llm.folding import pieces
 
 #: Words of abuse in the folded spelling, by what they do; fixed values and the model's prior knowledge.
@@ -161,7 +162,7 @@ def _rare_pieces(documents: DataFrame, candidates: list[str], config: ToxicityCo
 def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> dict:
     """The model {weights, theta} from at most max_labelled labelled documents, cut into pieces by Spark."""
     chosen = rated_grades(labels).join(documents.select("doc_id", "text"), "doc_id").where("text is not null")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_labelled)
+    chosen = bounded_sample(chosen, ["doc_id"], config.max_labelled)
     found = chosen.select("doc_id", "grade", "n_votes", _piece_texts("text").alias("pieces")).orderBy("doc_id").collect()
     index: dict[str, int] = {}
     docs = []
