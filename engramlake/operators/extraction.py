@@ -1,0 +1,131 @@
+"""Facts, preferences, relations, hints and tags found in text by rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: (pattern at the start of the text, kind, predicate or key, confidence, value with a capital first letter), fixed values.
+RULES = (
+    (r"i (?:live in|moved to) ", "fact", "lives_in", 0.85, True),
+    (r"i(?:'m| am) based in ", "fact", "based_in", 0.85, True),
+    (r"i(?:'m| am) from ", "fact", "from", 0.85, True),
+    (r"i work (?:at|for) ", "fact", "works_at", 0.85, True),
+    (r"i work on ", "fact", "works_on", 0.85, True),
+    (r"i(?:'m| am) an? ", "fact", "is_a", 0.80, False),
+    (r"(?:my name is|call me) ", "fact", "name", 0.90, True),
+    (r"my time ?zone is ", "fact", "timezone", 0.90, False),
+    (r"(?:i studied at|i graduated from) ", "fact", "studied_at", 0.85, False),
+    (r"(?:i studied|i have a degree in|i majored in) ", "fact", "degree_in", 0.85, False),
+    (r"(?:my hobby is|my hobbies are|i enjoy doing|in my free time i) ", "fact", "hobby", 0.80, False),
+    (r"my (?:native language|mother tongue) is ", "fact", "native_language", 0.90, True),
+    (r"i (?:prefer|always use|usually use) ", "preference", "preference", 0.80, False),
+    (r"i (?:like|love|enjoy) ", "preference", "likes", 0.75, False),
+    (r"i(?:'m| am) into ", "preference", "interest", 0.75, False),
+    (r"i(?:'m| am) passionate about ", "preference", "passion", 0.80, False),
+    (r"i mainly use ", "preference", "preference", 0.80, False),
+    (r"i speak ", "preference", "language", 0.85, False),
+    (r"i (?:code in|program in|write) ", "preference", "programming_language", 0.85, False),
+)
+#: Rules for Chinese, found anywhere in the text, fixed values.
+ZH_RULES = (
+    ("我(?:住在|居住在|搬到了?)", "fact", "lives_in", 0.85),
+    ("我(?:来自|老家是|老家在)", "fact", "from", 0.85),
+    ("(?:我叫|我的名字是|叫我|我名字叫)", "fact", "name", 0.90),
+    ("我毕业于", "fact", "studied_at", 0.85),
+    ("我学的是", "fact", "degree_in", 0.85),
+    ("(?:我的爱好是|我平时喜欢)", "fact", "hobby", 0.80),
+    ("我养了", "fact", "has_pet", 0.85),
+    ("我的母语是", "fact", "native_language", 0.90),
+    ("我(?:喜欢用|爱用|偏好)", "preference", "preference", 0.85),
+    ("我(?:擅长|精通)", "preference", "skill", 0.80),
+    ("我(?:会说|会讲)", "preference", "language", 0.85),
+)
+#: Beginnings that deny what follows, fixed values.
+NEGATIONS = "^(?:i don't |i do not |i'm not |i am not |i never |i can't |i cannot |i won't |i didn't |i did not |i haven't |i have not |i wouldn't |i would not |我不|我没有|我没|我从不)"
+#: Words that show a passing or a lasting state, fixed values.
+TEMPORARY = (
+    "right now|currently|at the moment|today|this week|this morning|this afternoon|this evening|working on|debugging|trying to|about to|just finished|"
+    "just started|in the middle of|temporarily|for now|现在|目前|正在|今天|这周|这个星期|今早|今晚|刚刚|刚才|马上|暂时|临时|先|在调试|在修"
+).split("|")
+PERMANENT = (
+    "always|i am a|i'm a|i live|i work at|my name is|i speak|i prefer|my favorite|i was born|i have been|for years|since|i never|i hate|i love|"
+    "我住在|我在|工作|我叫|我是|我喜欢|我偏好|一直|总是|从来|我来自|永远|多年|我会说"
+).split("|")
+#: Tags and the words they are given for, fixed values.
+TAXONOMY = {
+    "tech": "rust python javascript typescript golang java programming code api database sql docker kubernetes linux git framework library".split(),
+    "preference": "prefer like favorite favourite love hate dislike want enjoy".split(),
+    "personal": ["live in", "born in", "from", "family", "wife", "husband", "child", "parent", "friend", "colleague"],
+    "work": "work job company project deadline meeting team manager client sprint".split(),
+    "learning": "learn study course tutorial book reading research understand".split(),
+}
+#: Relations between named people by the words between the names, and their inverses; fixed values.
+RELATION_VERBS = {
+    "works with": "colleague_of", "works for": "reports_to", "reports to": "reports_to", "manages": "manages", "mentors": "mentors",
+    "teaches": "teaches", "married to": "spouse_of", "is dating": "dating", "lives with": "lives_with", "friend of": "friend_of",
+}
+INVERSES = {
+    **{r: r for r in "colleague_of friend_of spouse_of sibling_of partner_of roommate_of classmate_of teammate_of neighbor_of lives_with dating".split()},
+    "manages": "reports_to", "reports_to": "manages", "mentors": "mentored_by", "mentored_by": "mentors", "teaches": "taught_by", "taught_by": "teaches",
+    "parent_of": "child_of", "child_of": "parent_of",
+}
+NAME = r"([A-Z][\w'-]*(?: [A-Z][\w'-]*)*)"
+CLAUSE = r"[^.,!?;\n]+"
+
+
+def clause(text: Column) -> Column:
+    """The words up to the first stop or " and ", without blanks around them."""
+    return F.btrim(F.split_part(F.regexp_extract(text, f"^({CLAUSE})", 1), F.lit(" and "), F.lit(1)))
+
+
+def knowledge(texts: DataFrame) -> DataFrame:
+    """(id, rule_kind, predicate, value, confidence) found in texts (id, text) that begin with a rule's words; several
+    rules may hold. Texts that begin with a denial give nothing. Values of 80 bytes and more are left out."""
+    t = F.btrim(F.col("text"), F.lit(" \t\r\n"))
+    found = []
+    for pattern, kind, predicate, confidence, capital in RULES:
+        value = clause(F.regexp_extract(t, f"(?i)^{pattern}(.*)", 1))
+        if capital:
+            value = F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1000))
+        found.append(F.when(t.rlike(f"(?i)^{pattern}"), _row(kind, predicate, value, confidence)))
+    for pattern, kind, predicate, confidence in ZH_RULES:
+        value = F.regexp_extract(t, f"{pattern}([^，。！？；、,.!?;\\s]+)", 1)
+        found.append(F.when(t.rlike(pattern), _row(kind, predicate, value, confidence)))
+    rows = texts.where("text is not null").where(~F.lower(t).rlike(NEGATIONS)).select("id", F.explode(F.array_compact(F.array(*found))).alias("k"))
+    return rows.select("id", "k.*").where("value <> '' and octet_length(value) < 80")
+
+
+def _row(kind: str, predicate: str, value: Column, confidence: float) -> Column:
+    return F.struct(F.lit(kind).alias("rule_kind"), F.lit(predicate).alias("predicate"), value.alias("value"), F.lit(confidence).alias("confidence"))
+
+
+def hint(text: Column) -> Column:
+    """temporary, permanent or unknown, by which words are more."""
+    low = F.lower(text)
+    count = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
+    a, b = count(TEMPORARY), count(PERMANENT)
+    return F.when(a > b, "temporary").when(b > a, "permanent").otherwise("unknown")
+
+
+def tags(text: Column, taxonomy: dict = TAXONOMY) -> Column:
+    """Tags of a text, in the order of the taxonomy."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.rlike("|".join(words)), tag) for tag, words in taxonomy.items()]))
+
+
+def relations(texts: DataFrame) -> DataFrame:
+    """(id, person_a, relation, person_b, confidence) of "Name verb Name" in texts (id, text)."""
+    found = []
+    for verb, relation in RELATION_VERBS.items():
+        pattern = f"{NAME} (?:is )?{verb} {NAME}"
+        found.append(F.when(F.col("text").rlike(pattern), F.struct(
+            F.regexp_extract("text", pattern, 1).alias("person_a"), F.lit(relation).alias("relation"), F.regexp_extract("text", pattern, 2).alias("person_b"), F.lit(0.8).alias("confidence"))))
+    return texts.where("text is not null").select("id", F.explode(F.array_compact(F.array(*found))).alias("r")).select("id", "r.*")
+
+
+def with_inverses(found: DataFrame) -> DataFrame:
+    """Relations and, where there is one, the relation seen from the other side."""
+    inverse = F.element_at(F.create_map(*[F.lit(x) for kv in INVERSES.items() for x in kv]), F.col("relation"))
+    back = found.select("id", F.col("person_b").alias("person_a"), inverse.alias("relation"), F.col("person_a").alias("person_b"), "confidence").where("relation is not null")
+    return found.select("id", "person_a", "relation", "person_b", "confidence").union(back)
