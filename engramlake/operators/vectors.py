@@ -21,7 +21,8 @@ class VectorConfig:
     #: Rows the centroids of the index are fitted on, at most.
     fit_rows: int = 20_000
     lists: int = 32
-    probes: int = 12
+    #: Lists searched for a query. Vectors without any clusters need most lists; clustered ones a few.
+    probes: int = 24
     rounds: int = 10
     seed: int = 7
 
