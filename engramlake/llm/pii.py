@@ -55,10 +55,11 @@ _DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 _NUMBER = re.compile(
     rf"(?<![\w@./:-])(?:\+|\()?(?:[A-Z]{{1,2}} ?)?\d(?:[\d .()/-]{{4,22}})\d(?:[-/ ]?[A-Z](?![A-Za-z]))?(?![\w@])|(?<!\w)\d{{3}}(?:[ -](?:{_DIGIT_WORDS})){{4,}}(?!\w)|(?<!\w)(?:(?:{_DIGIT_WORDS})[ -]){{6,}}(?:{_DIGIT_WORDS})(?!\w)",
 )
-_TYPES_SURE = "street|road|avenue|ave|blvd|boulevard|lane|terrace|court|crescent|rd"
-_TYPES_DOUBTFUL = "st|ln|drive|dr|close|ct|way|hill|place|square|row|grove|gardens|walk"
+_TYPES_SURE = "street|road|avenue|boulevard|lane|terrace|court|crescent|(?:ave|blvd|rd)\\b\\.?"
+_TYPES_DOUBTFUL = "(?:st|ln|dr|ct)\\b\\.?|drive|close|way|hill|place|square|row|grove|gardens|walk"
+_DOUBTFUL_WORDS = frozenset(re.findall("[a-z]+", _TYPES_DOUBTFUL)) - {"b"}
 _STREET = re.compile(
-    rf"(?:(?:flat|unit|apt\.?|apartment|suite) \d+\w?,? )?(?<![\w.-])\d{{1,4}}[a-z]?(?: bis| ter)?,? (?:[^\W\d_][\w'’-]* ){{1,3}}?(?:{_TYPES_SURE}|{_TYPES_DOUBTFUL})\b\.?(?: (?:{_TYPES_SURE}|st|dr|close|drive|way)\b\.?)?"
+    rf"(?:(?:flat|unit|apt\.?|apartment|suite) \d+\w?,? )?(?<![\w.-])\d{{1,4}}[a-z]?(?: bis| ter)?,? (?:[^\W\d_][\w'’-]* ){{1,3}}?(?:{_TYPES_SURE}|{_TYPES_DOUBTFUL})(?!\w)(?: (?:{_TYPES_SURE}|(?:st|dr)\b\.?|close|drive|way)(?!\w))?"
     r"|(?<![\w.-])\d{1,4}[a-z]?(?: ?(?:bis|ter))?,? (?:rue|avenue|impasse|boulevard|chemin|allée|place|quai|route)(?: (?:de|du|des|la|le|les|d'|l'))* ?[^\W\d_][\w'’-]*"
     r"|(?:(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera) |\bC[/.] ?)(?:[^\W\d_][\w'’-]* ){0,4}?[^\W\d_][\w'’-]*,? (?:n[ºo°]\.? ?)?\d{1,4}[a-z]?\b"
     r"|[^\W\d_][\w-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm) \d{1,4} ?[a-z]?\b"
@@ -219,7 +220,7 @@ class Proposer:
         _, _, left, right = self._around(text, start, end)
         words = re.findall(r"[^\W\d_]+", span)
         last = words[-1].lower() if words else ""
-        doubtful = last in _TYPES_DOUBTFUL.split("|")
+        doubtful = last in _DOUBTFUL_WORDS
         capital = bool(words) and words[-1][:1].isupper()
         votes = (
             None if doubtful and not capital else 1,

@@ -68,7 +68,7 @@ class ToxicityConfig:
     #: Weight of a lexicon feature before anything is learned.
     prior: dict = field(default_factory=lambda: {"insult": 2.0, "harm": 1.2, "hate": 1.8, "sexual": 2.0, "several": 1.5, "address": 1.2, "masked": 1.0})
     #: Expected severity (0 to 2) from which a document is to be reviewed.
-    review_from: float = 0.3
+    review_from: float = 0.12
 
 
 def features(words: list[str]) -> set[str]:
@@ -94,7 +94,7 @@ def features(words: list[str]) -> set[str]:
 class Ordinal:
     """Cumulative-link regression over three grades on binary features; fitted on the driver."""
 
-    def __init__(self, vocabulary: dict[str, int], prior: np.ndarray, theta=(1.5, 2.0)):
+    def __init__(self, vocabulary: dict[str, int], prior: np.ndarray, theta=(2.5, 3.5)):
         self.vocabulary, self.prior = vocabulary, prior
         self.w, self.theta = prior.copy(), np.array(theta, float)
 
@@ -219,18 +219,18 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
                 if not at:
                     continue
                 best = max(at, key=lambda i: (novel[i], score[i]) if g > 0 else score[i])
-                if g > 0 and cold[best] == 0 and odd[best] and (novel[best] or turn > 0 and sev[best] > config.keep_above):
+                if g > 0 and cold[best] == 0 and odd[best] and (turn == 0 or novel[best] or sev[best] > config.keep_above):
                     grade[best], weight[best] = max(grade[best], g), 5.0 + votes
                 elif g == 0 and turn > 1 and sev[best] > 1.0:
                     weight[best] = 0.0  # a rater who missed it
             last = turn == config.rounds
             for k in range(1 if last else config.folds):
                 seen = np.ones(n, bool) if last else fold != k
-                model.w, model.theta = prior.copy(), np.array([1.5, 2.0])
+                model.w, model.theta = prior.copy(), np.array([2.5, 3.5])
                 model.fit(rows, cols, n, grade, weight * seen, config.steps, config.ridge)
                 s = model.score(rows, cols, n)
-                score = s if last else np.where(fold == k, s - (model.theta.mean() - 2), score)
-            model.theta = model.theta if last else np.array([1.75, 2.25])
+                score = s if last else np.where(fold == k, s - (model.theta.mean() - 3), score)
+            model.theta = model.theta if last else np.array([2.75, 3.25])
     return {"weights": {f: float(model.w[i]) for f, i in vocabulary.items() if abs(model.w[i]) > 1e-3}, "theta": model.theta.tolist()}
 
 
