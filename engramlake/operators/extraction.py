@@ -129,3 +129,18 @@ def with_inverses(found: DataFrame) -> DataFrame:
     inverse = F.element_at(F.create_map(*[F.lit(x) for kv in INVERSES.items() for x in kv]), F.col("relation"))
     back = found.select("id", F.col("person_b").alias("person_a"), inverse.alias("relation"), F.col("person_a").alias("person_b"), "confidence").where("relation is not null")
     return found.select("id", "person_a", "relation", "person_b", "confidence").union(back)
+
+#: "Name (now) works at Name" and "Name joined Name".
+EMPLOYMENT = NAME + r" (?:(?:now |currently )?works (?:at|for)|joined) " + NAME
+
+
+def employment(texts: DataFrame) -> DataFrame:
+    """(id, person, company) of at most the first two statements of employment in a text (id, text)."""
+    hits = F.slice(F.regexp_extract_all("text", F.lit(EMPLOYMENT), 0), 1, 2)
+    return texts.where("text is not null").select("id", F.explode(hits).alias("hit")).select("id", F.regexp_extract("hit", EMPLOYMENT, 1).alias("person"), F.regexp_extract("hit", EMPLOYMENT, 2).alias("company"))
+
+
+def durability(text: Column) -> Column:
+    """How long a text's content lasts, by its hint."""
+    h = hint(text)
+    return F.when(h == "unknown", "normal").otherwise(h)

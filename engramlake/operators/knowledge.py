@@ -149,3 +149,19 @@ def working_ring(events: DataFrame, capacity: int = 100) -> DataFrame:
     """The newest `capacity` rows of each session (session, seq)."""
     w = Window.partitionBy("session").orderBy(F.desc("seq"))
     return events.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= capacity)
+
+
+def listed_people(people: DataFrame, identities: DataFrame) -> DataFrame:
+    """(id, display_name, n_identities, channels) of every person."""
+    own = identities.groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("channel")).alias("channels"))
+    return people.join(own, "id", "left").select("id", "display_name", F.coalesce("n", F.lit(0)).alias("n_identities"), F.coalesce("channels", F.array().cast("array<string>")).alias("channels"))
+
+
+def promoted_pattern(found: DataFrame) -> DataFrame:
+    """Procedural memories of frequent patterns: (trigger, tier, base_score, line)."""
+    return found.select("trigger", F.lit("procedural").alias("tier"), F.lit(0.7).alias("base_score"), F.concat(F.lit("When "), "trigger", F.lit(": "), F.concat_ws(", ", "actions")).alias("line"))
+
+
+def speculative(confidence: Column) -> Column:
+    """Confidence of a fact that was only guessed from another: below the floor of what a context shows."""
+    return F.least(confidence * 0.3, F.lit(0.29))

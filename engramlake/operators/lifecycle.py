@@ -99,3 +99,38 @@ def sessions(memories: DataFrame, before: Column, least: int = 3) -> DataFrame:
             F.greatest(F.max("effective"), F.lit(0.3)).alias("top_salience"),
         ).where(F.col("n") >= least)
     )
+
+
+def in_window(memories: DataFrame, now: Column, days: int) -> DataFrame:
+    """Episodic memories ingested within the last days."""
+    return memories.where((F.col("tier") == "episodic") & (F.unix_micros("ingestion_time") >= F.unix_micros(now) - days * 86_400_000_000))
+
+
+def moved(memories: DataFrame, ids: DataFrame, tier: str) -> DataFrame:
+    """`memories` with the rows of ids (id) in another tier: archived, or restored."""
+    hit = ids.select("id", F.lit(True).alias("_hit")).distinct()
+    return memories.join(hit, "id", "left").withColumn("tier", F.when(F.col("_hit"), tier).otherwise(F.col("tier"))).drop("_hit")
+
+
+def compressed(memories: DataFrame, before: Column, least: int = 3) -> DataFrame:
+    """One row for each session that is compressed: (channel, day, n, base_score, tags, event_ms). Only texts take part."""
+    rows = memories.where("tier = 'episodic' and kind = 'Text'").where(F.col("ingestion_time") <= before).withColumn("day", F.date_format("ingestion_time", "yyyy-MM-dd"))
+    tags = rows.select("channel", "day", F.explode("tags").alias("tag")).distinct().groupBy("channel", "day").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
+    by = rows.groupBy("channel", "day").agg(F.count("*").alias("n"), F.greatest(F.max("effective"), F.lit(0.3)).alias("base_score"), F.min(F.unix_millis("ingestion_time")).alias("event_ms")).where(F.col("n") >= least)
+    return by.join(tags, ["channel", "day"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def cycle_report(memories: DataFrame, now: Column) -> DataFrame:
+    """One row on what a consolidation cycle would do: memories decayed, groups promoted, memories archived."""
+    fading = decay_changes(memories, now).agg(F.count("*").alias("decayed"))
+    groups = promotion_groups(memories).agg(F.count("*").alias("promoted"))
+    faint = sweep(memories).agg(F.count("*").alias("archived"))
+    return fading.crossJoin(groups).crossJoin(faint)  # one row each
+
+
+def privacy_operations(memories: DataFrame, ids: DataFrame, level: str) -> DataFrame:
+    """(id, operation) that a change of privacy sends to other devices: an upsert when a memory becomes shared, a delete when it becomes private."""
+    rows = memories.join(ids.select("id").distinct(), "id", "left_semi").where(F.col("privacy") != level)
+    if level == "private":
+        return rows.select("id", F.lit("MemoryDelete").alias("operation"))
+    return rows.where("privacy = 'private'").select("id", F.lit("MemoryUpsert").alias("operation"))

@@ -53,3 +53,9 @@ def live_tombstones(tombstones: DataFrame, now, days: int = 30) -> DataFrame:
     """Tombstones younger than the time to live, one row for each entity: the latest."""
     young = tombstones.where(F.unix_micros("created_at") >= F.unix_micros(now) - days * 86_400_000_000)
     return young.groupBy(F.lower(F.btrim("entity_type")).alias("entity_type"), canonical_id(F.col("entity_id")).alias("entity_id")).agg(F.max(F.unix_millis("created_at")).alias("created_ms"))
+
+
+def captured(changes: DataFrame) -> DataFrame:
+    """(id, operation) sent to other devices for changes (id, change, privacy): private memories are never sent, archiving is an upsert."""
+    operation = F.when(F.col("change") == "deleted", "MemoryDelete").when(F.col("change").isin("stored", "updated", "archived"), "MemoryUpsert")
+    return changes.where("privacy <> 'private'").select("id", operation.alias("operation")).where("operation is not null")
