@@ -9,6 +9,7 @@ labelled document stands for it, and the pieces of clean documents are clean.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,7 +53,7 @@ _ADDRESS = frozenset("you your yours u du dich dir dein deine deiner ihr euch tu
 class ToxicityConfig:
     #: Labelled documents that the model is fitted on, at most; those with the smallest hash of their id.
     max_labelled: int = 20_000
-    #: Different clean pieces that the model is fitted on, at most, drawn by a fixed seed.
+    #: Different clean pieces, beside those like suspect ones, that the model is fitted on, at most, drawn by a fixed seed.
     max_clean_pieces: int = 25_000
     rounds: int = 3
     #: A piece is judged by a model fitted on the other folds of documents, so that no rater's error confirms itself.
@@ -63,7 +64,7 @@ class ToxicityConfig:
     novel_share: float = 0.4
     #: Expected severity below which the worst piece of a document labelled toxic counts as a rater's error.
     keep_above: float = 0.3
-    steps: int = 100
+    steps: int = 80
     ridge: float = 6e-6
     #: Weight of a lexicon feature before anything is learned.
     prior: dict = field(default_factory=lambda: {"insult": 2.0, "harm": 1.2, "hate": 1.8, "sexual": 2.0, "several": 1.5, "address": 1.2, "masked": 1.0})
@@ -174,12 +175,16 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
     suspect = sorted({p for g, _, ps in docs if g > 0 for p in ps})
     rng = np.random.default_rng(7)
     only_clean = np.array([p for p in clean_in if p not in set(suspect)], int)
+    rare = _rare_pieces(documents, [texts[p] for p in suspect], config) if suspect else set()
+    told = set().union(*(_pairs(t) for t in rare)) if rare else set()
     if len(only_clean) > config.max_clean_pieces:
-        only_clean = rng.choice(only_clean, config.max_clean_pieces, replace=False)
+        # clean pieces that speak like a suspect one all stay
+        like = np.array([not told.isdisjoint(_pairs(texts[p])) for p in only_clean])
+        left = only_clean[~like]
+        only_clean = np.concatenate([only_clean[like], rng.choice(left, min(len(left), config.max_clean_pieces), replace=False)])
     used = np.concatenate([np.array(suspect, int), only_clean]) if len(suspect) or len(only_clean) else np.zeros(0, int)
     where = {int(p): i for i, p in enumerate(used)}
-    feats = [features(texts[p].split(" ")) for p in used]
-    df = Counter(f for x in feats for f in x)
+    df = Counter(f for p in used for f in features(texts[p].split(" ")))
     known = sorted(f for f, k in df.items() if k >= 2 or f[0] == "#") + [f"#{k}" for k in config.prior if f"#{k}" not in df]
     vocabulary = {f: i for i, f in enumerate(dict.fromkeys(known))}
     prior = np.zeros(len(vocabulary))
@@ -188,8 +193,13 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
             kind, _, you = f[1:].partition("+")
             prior[i] = config.prior["address"] if you else config.prior.get(kind, 0.0)
     model = Ordinal(vocabulary, prior)
-    pairs = [(i, vocabulary[f]) for i, x in enumerate(feats) for f in sorted(x) if f in vocabulary]
-    rows, cols = (np.array(x, int) for x in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
+    del df
+    found_in, cols = array("i"), array("i")
+    for i, p in enumerate(used):
+        own = sorted(vocabulary[f] for f in features(texts[p].split(" ")) if f in vocabulary)
+        cols.extend(own)
+        found_in.extend([i] * len(own))
+    rows, cols = np.array(found_in, np.int32), np.array(cols, np.int32)
     n = len(used)
     if n:
         # before the first round, the share of suspect documents among those with a feature tells which piece is odd
@@ -201,7 +211,6 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
         odds = np.log((up + 0.1) / max(1, hot.sum()) * max(1, (cold > 0).sum()) / (down + 0.1))
         size = np.maximum(1, np.bincount(rows, minlength=n))
         odd = np.bincount(rows, ((up > down) * 1.0)[cols], n) / size >= config.novel_share
-        rare = _rare_pieces(documents, [texts[p] for p in suspect], config)
         novel = np.zeros(n, bool)
         novel[[where[p] for p in suspect if texts[p] in rare]] = True
         score = np.bincount(rows, np.clip(odds, -3, 4)[cols], n) / size + model.score(rows, cols, n)
@@ -219,8 +228,10 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
                 if not at:
                     continue
                 best = max(at, key=lambda i: (novel[i], score[i]) if g > 0 else score[i])
-                if g > 0 and cold[best] == 0 and odd[best] and (turn == 0 or novel[best] or sev[best] > config.keep_above):
-                    grade[best], weight[best] = max(grade[best], g), 5.0 + votes
+                if g == 2 and cold[best] == 0 and odd[best] and (turn == 0 or novel[best] or sev[best] > config.keep_above):
+                    grade[best], weight[best] = 2, 5.0 + votes
+                elif g == 1 and turn > 0 and cold[best] == 0 and odd[best] and sev[best] > config.keep_above and grade[best] == 0:
+                    grade[best], weight[best] = 1, 1.0
                 elif g == 0 and turn > 1 and sev[best] > 1.0:
                     weight[best] = 0.0  # a rater who missed it
             last = turn == config.rounds
