@@ -157,7 +157,8 @@ _RETRIEVE = sq.with_m(
 
 @query("r1_retrieve", _RETRIEVE)
 def r1(spark, d):
-    return search.retrieve(ms.memories(spark, d), search.Query("garden pump", ("garden",)), now()).select("id", F.round("score", 6).alias("score"))
+    m = ms.memories(spark, d).drop("confidence", "frequency", "base_score", "emotional", "access_boost", "decay_factor", "tags", "metadata_json", "content_hash", "updated_at", "end").persist()
+    return search.retrieve(m, search.Query("garden pump", ("garden",)), now()).select("id", F.round("score", 6).alias("score"))
 
 
 def _lines(spark, d):
