@@ -81,7 +81,7 @@ def export_rows(memories: DataFrame, include_archived: bool = True, only_syncabl
     return out.where("privacy <> 'private'") if only_syncable else out
 
 
-def importable(memories: DataFrame, reserved: str = "muse-export") -> DataFrame:
+def importable(memories: DataFrame, reserved: str) -> DataFrame:
     """Rows that an import accepts: all but those of the reserved namespace."""
     return memories.where(F.col("namespace").isNull() | (F.col("namespace") != reserved))
 

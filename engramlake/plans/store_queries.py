@@ -125,9 +125,9 @@ def s18(spark, d):
     return scans.export_rows(ms.memories(spark, d), only_syncable=True).select("id", "tier", "privacy", "privacy_scope")
 
 
-@query("s19_import", sq.with_m("SELECT id, namespace FROM m WHERE namespace IS NULL OR namespace <> 'muse-export'"))
+@query("s19_import", sq.with_m("SELECT id, namespace FROM m WHERE namespace IS NULL OR namespace <> 'travel'"))
 def s19(spark, d):
-    return scans.importable(ms.memories(spark, d)).select("id", "namespace")
+    return scans.importable(ms.memories(spark, d), "travel").select("id", "namespace")
 
 
 @query("r17_recent_feed", sq.with_m("SELECT id, tier, epoch_us(created_at) // 1000 AS at_ms FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY created_at DESC NULLS LAST, id) AS r FROM m WHERE tier IN ('episodic', 'semantic', 'procedural')) WHERE r <= 20 ORDER BY created_at DESC NULLS LAST, id LIMIT 20"))

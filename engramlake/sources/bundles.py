@@ -35,10 +35,10 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, mode: str = "full")
         df.write.mode("errorifexists").option("compression", "gzip").json(f"{path}/{name}")
 
 
-def read_snapshot(spark: SparkSession, path: str, schemas: dict) -> dict[str, DataFrame]:
+def read_snapshot(spark: SparkSession, path: str, schemas: dict, reserved: str | None = None) -> dict[str, DataFrame]:
     """The tables of a snapshot with their schemas; rows of the reserved namespace are not taken in."""
     out = {}
     for name, schema in schemas.items():
         df = spark.read.schema(schema).json(f"{path}/{name}")
-        out[name] = scans.importable(df) if name == "memories" else df
+        out[name] = scans.importable(df, reserved) if reserved and name == "memories" else df
     return out
