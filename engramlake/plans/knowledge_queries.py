@@ -172,10 +172,10 @@ def v6(spark, d):
     return vectors.nearest(e, e.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("v7_near_dup", f"SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {_COS} >= 0.8 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 8")
+@query("v7_near_dup", f"SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {_COS} >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 8")
 def v7(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.nearest(e, e.where("vec_id % 50 = 0"), 8, 0.8).select("query_id", "vec_id")
+    return vectors.nearest(e, e.where("vec_id % 50 = 0"), 8, 0.3).select("query_id", "vec_id")
 
 
 @query("v3_ann", None)

@@ -60,7 +60,9 @@ def main() -> int:
     from engramlake.session import local_session
 
     args = sys.argv[1:]
-    sf_dir = args.pop(1) if args[:1] == ["--dir"] and args.pop(0) else "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.01"
+    if args[:1] == ["--dir"]:
+        sf_dir, args = args[1], args[2:]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
