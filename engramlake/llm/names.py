@@ -2,9 +2,9 @@
 
 The names of a person id are read into parts (given and family name, or firm and trade, or a handle).
 A suffix index over family names, firm names and handles, read forwards and backwards, proposes pairs;
-short suffixes are refined by the initial of the given name at once, longer ones only where too
-many share them. Pairs are compared by the ratio of their longest common subsequence, and groups
-are the connected components of the accepted pairs.
+short suffixes are refined by the initial of the given name at once, and all where too many share them by
+what a match needs besides. Equal profiles stand for one another. Pairs are compared by the ratio of their
+longest common subsequence, and groups are the connected components of the accepted pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,9 +31,10 @@ class NameConfig:
     min_suffix: int = 4
     #: Suffixes below this length carry the initial of the given name in any case.
     refined_below: int = 7
-    #: Ids that may share a suffix; a larger block is refined by the initial, then by the other end of the name. Only then
-    #: is it left out, unless the suffix is the whole name, and those stay, linked to the first id of the block.
+    #: Profiles that are paired by a shared suffix alone; in a larger block only those are that share a key of `relation_keys`, too.
     max_block: int = 60
+    #: Profiles of one such key that a task pairs others with at a time.
+    slice_size: int = 1000
 
 
 #: Short forms that are no beginning of the name they stand for, fixed values.
@@ -215,19 +216,49 @@ def definite(p: dict) -> bool:
     return bool(p["f"]) or any(len(g) > 3 or g in NICKNAMES for g, _ in p["p"])
 
 
-def suffix_keys(p: dict, config: NameConfig = NameConfig()) -> list[tuple[str, str, str, bool]]:
-    """(suffix, initial, other end, whole) of a profile's names, forwards ("s") and backwards ("p")."""
+def suffix_keys(p: dict, config: NameConfig = NameConfig()) -> list[tuple[str, str]]:
+    """(suffix, initial) of a profile's names, forwards ("s") and backwards ("p")."""
     out = set()
     named = [(f, {x[0] for x in _full(g)}) for g, f in p["p"]] + [(b, {t[0]}) for b, t in p["f"]] + [(h, {h[0], h[-1]}) for h in p["h"]]
     for name, initials in named:
         for way, s in (("s", name), ("p", name[::-1])):
             for k in range(config.min_suffix, len(s) + 1):
                 for i in initials:
-                    out.add((f"{way}{s[-k:]}", i, s[0], k == len(s)))
+                    out.add((f"{way}{s[-k:]}", i))
     return sorted(out)
 
 
-_KEYS = T.ArrayType(T.StructType([T.StructField("suffix", T.StringType()), T.StructField("initial", T.StringType()), T.StructField("end", T.StringType()), T.StructField("whole", T.BooleanType())]))
+def relation_keys(p: dict) -> tuple[list[str], list[str]]:
+    """(sought, listed) keys of a profile. Of two profiles that `compare` does not tell apart, one is listed under a key that the other seeks.
+
+    Given names seek themselves and are listed under all their beginnings; those that differ by one letter share what is left
+    without it ("="). Handles seek the beginnings of given names with the length that the family name has then.
+    """
+    sought, listed = set(), set()
+    for g, f in p["p"]:
+        for x in _full(g):
+            sought.add(f"g{x}")
+            listed |= {f"g{x[:k]}" for k in range(1, len(x) + 1)}
+            listed |= {f"h{x[:k]}|{len(f)}" for k in (1, 3, len(x)) if k <= len(x)}
+            if len(x) >= 4:
+                same = {f"={y}" for y in (x, *(x[:k] + x[k + 1 :] for k in range(len(x))))}
+                sought |= same
+                listed |= same
+    for b, t in p["f"]:
+        sought.add(f"=t{t}|")
+        listed |= {f"=t{t}|", f"b<{b[0]}", f"b>{b[-2:]}"}
+    for h in p["h"]:
+        sought |= {f"b<{h[0]}", f"b>{h[-2:]}"}
+        for k in range(1, len(h) - 2):
+            sought |= {f"h{part}|{len(h) - k + d}" for part in (h[:k], h[-k:]) for d in (-2, -1, 0, 1, 2)}
+        if not p["p"]:
+            sought.add(f"=h{h[0]}{h[-1]}|")
+            listed.add(f"=h{h[0]}{h[-1]}|")
+    return sorted(sought), sorted(listed)
+
+
+_KEYS = T.ArrayType(T.StructType([T.StructField("suffix", T.StringType()), T.StructField("initial", T.StringType())]))
+_RELATIONS = T.StructType([T.StructField("sought", T.ArrayType(T.StringType())), T.StructField("listed", T.ArrayType(T.StringType()))])
 
 
 def person_names(people: DataFrame, identities: DataFrame) -> DataFrame:
@@ -247,32 +278,37 @@ def person_names(people: DataFrame, identities: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(profiles: DataFrame, config: NameConfig = NameConfig()) -> DataFrame:
-    """Distinct (a, b), a < b, of person ids that share a suffix key."""
+    """Distinct (a, b), a < b, of person ids that share a suffix key and, where very many share it, a relation key as well."""
 
     @F.pandas_udf(_KEYS)
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda p: [dict(zip(("suffix", "initial", "end", "whole"), k)) for k in suffix_keys(json.loads(p), config)])
-
-    index = checkpointed(profiles.select("person_id", F.explode(keys("profile")).alias("k")).select("person_id", "k.*"))
-    short = F.length("suffix") - 1 < config.refined_below
-    step = index.select("person_id", "suffix", "initial", "end", "whole", F.when(short, F.concat_ws("|", "suffix", "initial")).otherwise(F.col("suffix")).alias("key"))
-    blocks = []
-    refinements = (F.concat_ws("|", "suffix", "initial"), F.concat_ws("|", "suffix", "initial", "end"), None)
-    for finer in refinements:
-        size = step.select("key", "person_id").distinct().groupBy("key").count()
-        sized = step.join(size, "key")
-        blocks.append(sized.where((F.col("count") > 1) & (F.col("count") <= config.max_block)).select("key", "person_id"))
-        over = sized.where(F.col("count") > config.max_block).drop("count", "key")
-        if finer is None:
-            # whole names that very many share: every id to the block's first, which is enough for equal names
-            first = over.where("whole").select(F.concat_ws("|", "suffix", "initial", "end").alias("key"), "person_id").distinct()
-            hot = first.withColumn("a", F.min("person_id").over(Window.partitionBy("key"))).select("a", F.col("person_id").alias("b"))
-        else:
-            step = over.withColumn("key", finer)
-    members = blocks[0].union(blocks[1]).union(blocks[2]).distinct()
+            yield batch.map(lambda p: [dict(zip(("suffix", "initial"), k)) for k in suffix_keys(json.loads(p), config)])
+
+    @F.pandas_udf(_RELATIONS)
+    def relations(profile: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([relation_keys(json.loads(p)) for p in profile], columns=["sought", "listed"])
+
+    short = F.length("k.suffix") - 1 < config.refined_below
+    key = F.when(short, F.concat_ws("|", "k.suffix", "k.initial")).otherwise(F.col("k.suffix")).alias("key")
+    index = checkpointed(profiles.select("person_id", F.explode(keys("profile")).alias("k")).select("person_id", key).distinct())
+    size = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = checkpointed(index.join(size, "key"))
+    members = sized.where(F.col("n") <= config.max_block)
     pairs = members.alias("x").join(members.alias("y"), "key").where("x.person_id < y.person_id").select(F.col("x.person_id").alias("a"), F.col("y.person_id").alias("b"))
-    return pairs.union(hot.where("a < b")).distinct()
+
+    over = sized.where(F.col("n") > config.max_block).select("key", "person_id")
+    related = checkpointed(profiles.join(over.select("person_id").distinct(), "person_id", "left_semi").select("person_id", relations("profile").alias("r")))
+    blocks = over.join(related, "person_id")
+    listed = blocks.select("person_id", "key", F.explode("r.listed").alias("relation"))
+    sought = blocks.select("person_id", "key", F.explode("r.sought").alias("relation"))
+    # what is listed under one key is cut into slices, each of which meets all that seek it
+    slices = listed.groupBy("key", "relation").agg(F.ceil(F.count("*") / config.slice_size).cast("int").alias("slices"))
+    x = sought.join(slices, ["key", "relation"]).select("person_id", "key", "relation", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    y = listed.join(slices, ["key", "relation"]).select("person_id", "key", "relation", F.pmod(F.xxhash64("person_id"), F.col("slices")).cast("int").alias("slice"))
+    once = F.when(F.col("relation").startswith("="), F.col("x.person_id") < F.col("y.person_id")).otherwise(F.col("x.person_id") != F.col("y.person_id"))
+    hot = x.alias("x").join(y.alias("y"), ["key", "relation", "slice"]).where(once).select(F.least("x.person_id", "y.person_id").alias("a"), F.greatest("x.person_id", "y.person_id").alias("b"))
+    return pairs.union(hot).distinct()
 
 
 def linked_people(people: DataFrame, identities: DataFrame, config: NameConfig = NameConfig()) -> DataFrame:
@@ -281,8 +317,10 @@ def linked_people(people: DataFrame, identities: DataFrame, config: NameConfig =
 
     Clear pairs are grouped first. An id whose given name is only begun joins the one group, or the one id named in full,
     that fits; if several do, it stays alone, and if none does, it is joined with the others of the same spelling.
+    Of ids with equal profiles the first is compared, and the others go where it goes.
     """
-    profiles = checkpointed(person_names(people, identities))
+    everyone = checkpointed(person_names(people, identities))
+    profiles = checkpointed(everyone.groupBy("profile").agg(F.min("person_id").alias("person_id")))
 
     @F.pandas_udf(T.IntegerType())
     def level(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -294,7 +332,9 @@ def linked_people(people: DataFrame, identities: DataFrame, config: NameConfig =
 
     pa, pb = (profiles.select(F.col("person_id").alias(k), F.col("profile").alias(f"p{k}")) for k in "ab")
     judged = checkpointed(candidate_pairs(profiles, config).join(pa, "a").join(pb, "b").select("a", "b", level("pa", "pb").alias("level")).where("level > 0"))
-    clear = judged.where("level = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    copies = everyone.join(profiles.withColumnRenamed("person_id", "u"), "profile").where("u <> person_id")
+    twins = checkpointed(copies.select("u", F.col("person_id").alias("v"), level("profile", "profile").alias("level")))
+    clear = judged.where("level = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).union(twins.where("level = 2").select("u", "v"))
     groups = connected_components(clear)
     weak = judged.where("level = 1")
     ends = weak.select("a", "b").union(weak.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -308,7 +348,9 @@ def linked_people(people: DataFrame, identities: DataFrame, config: NameConfig =
     joined = options.where("n = 1").select(F.col("a").alias("u"), F.col("g").alias("v"))
     alone = options.where("n = 0").select("a")
     both = loose.join(alone, "a", "left_semi").join(alone.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    settled = connected_components(clear.union(joined).union(both))
+    undecided = options.where("n > 1").select(F.col("a").alias("u"))
+    followers = twins.where("level = 1").join(undecided, "u", "left_anti").select("u", "v")
+    settled = connected_components(clear.union(joined).union(both).union(followers))
     return settled.select(F.col("node").alias("person_id"), F.col("component").alias("group"))
 
 

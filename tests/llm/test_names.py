@@ -46,5 +46,32 @@ def test_full_blocks_keep_equal_names(spark):
     assert len(got) == 30 * 29 // 2
 
 
+def test_full_blocks_of_one_initial_keep_all_links(spark):
+    given = "Stefan Simon Sabine Selma Sigrid Silvia Sven Svenja Samuel Saskia Sandra Sergio".split()
+    people = [(f"a{i:02d}", f"{g} Geangearkamp", 1) for i, g in enumerate(given)]
+    people += [("m1", "Sofia Geangearkamp", 1), ("m2", "Sofia Geangearkamp", 1), ("m3", "Sofia Geangaerkamp", 1), ("m4", "Sofai Geangearkamp", 1), ("m5", None, 1)]
+    people += [("n1", "Ludwig Geangearkamp", 1), ("n2", "Rudwig Geangearkamp", 1), ("o1", "Bob Geangearkamp", 1), ("o2", "Robert Geangearkamp", 1)]
+    identities = [("m2", "slack", "1", "s.geangearkamp", None), ("m5", "email", "2", "sofiageangearkamp", None)]
+    want = linked(spark, people, identities)
+    assert {("m1", "m2"), ("m1", "m3"), ("m1", "m4"), ("m1", "m5"), ("n1", "n2"), ("o1", "o2")} <= want
+    assert linked(spark, people, identities, nm.NameConfig(max_block=5, slice_size=3)) == want
+
+
+def test_equal_begun_names_stay_undecided(spark):
+    people = [("p1", "Johanna Stunmongate", 1), ("p3", "James Stunmongate", 1), ("p4", "J. Stunmongate", 1), ("p5", "J. Stunmongate", 1), ("q1", "K. Kustaley", 1), ("q2", "K. Kustaley", 1)]
+    assert linked(spark, people, []) == {("q1", "q2")}
+
+
+def test_relation_keys_cover_compare():
+    given = "Sofia Sofai Sophia S Sof Bob Robert Roberta Rob Bobby Lexi Sasha Alexander Xavier Zavier Jo John Johanna J Ludwig Rudwig".split()
+    profiles = [nm.profile([f"{g} {f}"], []) for g in given for f in ("Geangearkamp", "Geangaerkamp")]
+    profiles += [nm.profile([], [h]) for h in "sofiageangearkamp sgeangearkamp geangearkamp.s geangearkamps geangearkampjoh johnngeangearkamp geangearkamp geangearkmap geangearkamplab".split()]
+    profiles += [nm.profile([f"{b} {t}"], []) for b in ("Geangearkamp", "Geangearkmap") for t in ("Labs", "Laboratories", "Seed Ltd")]
+    keyed = [[set(k) for k in nm.relation_keys(p)] for p in profiles]
+    judged = [(i, j) for i in range(len(profiles)) for j in range(i) if nm.compare(profiles[i], profiles[j])]
+    assert len(judged) > 100
+    assert all(keyed[i][0] & keyed[j][1] or keyed[j][0] & keyed[i][1] for i, j in judged)
+
+
 def test_empty(spark):
     assert linked(spark, [], []) == set()
