@@ -13,7 +13,10 @@ _LOOKALIKES = str.maketrans(
 _LEET = str.maketrans("013457@$!€+", "oieastasiet")
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .·\-_*])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
-_WORDLIKE = re.compile(r"[\w@$!€+*'’]+")
+#: Digits that stand for letters only in words, in both readings of 6, fixed values.
+_RARE_LEET = (str.maketrans("2689", "zgbg"), str.maketrans("2689", "zbbg"))
+_WORDLIKE = re.compile(r"(?<=[぀-ヿ㐀-鿿])\*+(?=[぀-ヿ㐀-鿿])|(?<=(?<!\w)[぀-ヿ㐀-鿿])\*+|(?:[^\W぀-ヿ㐀-鿿]|[@$!€+*'’])+")
+_NUMBER = re.compile(r"[0-9]*[2689][0-9]*")
 _REPEATED = re.compile(r"([^\W\d_])\1+")
 _MASKED = re.compile(r"^([^\W\d_])\*+([^\W\d_]?)\W*$")
 #: Sounds between the sentences of spoken text, fixed values.
@@ -39,11 +42,30 @@ def repair(text: str) -> str:
 
 def _word(m: re.Match) -> str:
     w = m[0]
+    if set(w) == {"*"} and _CJK.match(m.string, m.start() - 1):
+        return "*"
     if (masked := _MASKED.match(w)):
         return f"{masked[1]}*{masked[2]}"
     core = w.rstrip("!+*'’")
     if any(c in "2689" for c in core):
-        return " "  # a number, code or checksum
+        return f" {' '.join(_around_digits(core))} "
+    return _letters(core)
+
+
+def _around_digits(core: str) -> list[str]:
+    """Readings of a word with digits that are no usual letters: its parts without them, apart and together, and, if it is
+    rather a word than a number, with letters for them. A mere number has none."""
+    letters = sum(c.isalpha() for c in core)
+    if not letters:
+        return []
+    parts = [_letters(x) for x in _NUMBER.split(core)]
+    found = [*(x for x in parts if len(x) > 1), "".join(parts)]
+    if letters > sum(c.isdigit() for c in core) and _LATIN.search(core):
+        found += [_letters(core.translate(t)) for t in _RARE_LEET]
+    return list(dict.fromkeys(found))
+
+
+def _letters(core: str) -> str:
     if _LATIN.search(core) and not core.isalpha() and any(c in "013457@$!€+" for c in core):
         core = core.translate(_LEET)
     elif core and core in ("@7", "!7", "7o", "!t"):
@@ -66,9 +88,7 @@ def pieces(text: str, words: int = 16, step: int = 6) -> list[list[str]]:
     `words` words that overlap, and at the fillers of speech, Chinese into its characters. Every word is in some piece."""
     out = []
     for part in _ENDS.split(fold(text)):
-        found = []
-        for w in re.findall(r"[^\W\d_]+\*?[^\W\d_]*|[^\W\d_]", part):
-            found += list(w) if _CJK.search(w) else [w]
+        found = re.findall(r"[^\W\d_]+\*?[^\W\d_]*|(?<=[぀-ヿ㐀-鿿] )\*", _CJK.sub(r" \g<0> ", part))
         start = 0
         for i, w in enumerate([*found, "um"]):
             if w in _FILLERS:

@@ -56,3 +56,14 @@ def test_folding():
     assert same("go to hell", "gо tо hеll") and same("his shirt", "h1$ sh1rt") and same("du hirnloser Trottel", "du h i r n l o s e r Trottel")
     assert folding.repair("FÃ¼r") == "Für"
     assert all(w for p in folding.pieces("a " * 500) for w in p)
+
+
+def test_digits_take_no_words_away():
+    weights, theta = {"#insult": 5.0}, [2.5, 3.5]
+    assert folding.pieces("你这个废物2点前滚出去") == [list("你这个废物点前滚出去")]
+    assert folding.pieces("你真idiot啊") == [["你", "真", "idiot", "啊"]]
+    for text in ("你这个废物2点前滚出去", "8itch", "6itch", "idiot2", "you 9idiot", "idiot26you", "1d1ot88", "id2iot"):
+        assert toxicity.worst_piece(text, weights, theta)[0] > 1, text
+    assert folding.pieces("你这傻*滚") == [list("你这傻*滚")] and folding.pieces("傻*") == [["傻", "*"]]
+    assert "fag" in folding.pieces("fa9")[0] and "fagot" in folding.pieces("fa66ot")[0]
+    assert folding.pieces("28 6.9 2025-06-29") == [] and folding.pieces("12kg") == [["kg"]]
