@@ -51,10 +51,12 @@ class PiiConfig:
 _AT = r"(?:@|＠|\s?\(at\)\s?|\s?\[at\]\s?)"
 _DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)"
 _MAIL = re.compile(rf"[\w%+-]+(?:[.%+-][\w%+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+|[\w%+-]+(?:[.%+-][\w%+-]+)* at [\w-]+(?:(?:\.| dot )[\w-]+)* dot [A-Za-z]{{2,}}", re.I)
-_DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
+_DIGIT_WORDS = "(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _NUMBER = re.compile(
     rf"(?<![\w@./:-])(?:\+|\()?(?:[A-Z]{{1,2}} ?)?\d(?:[\d .()/-]{{4,22}})\d(?:[-/ ]?[A-Z](?![A-Za-z]))?(?![\w@])|(?<!\w)\d{{3}}(?:[ -](?:{_DIGIT_WORDS})){{4,}}(?!\w)|(?<!\w)(?:(?:{_DIGIT_WORDS})[ -]){{6,}}(?:{_DIGIT_WORDS})(?!\w)",
 )
+#: What every number in words holds; tested first, as most strings hold no number at all.
+_SPELLED = re.compile(rf"(?:{_DIGIT_WORDS})[ -](?:{_DIGIT_WORDS})")
 _TYPES_SURE = "street|road|avenue|boulevard|lane|terrace|court|crescent|(?:ave|blvd|rd)\\b\\.?"
 _TYPES_DOUBTFUL = "(?:st|ln|dr|ct)\\b\\.?|drive|close|way|hill|place|square|row|grove|gardens|walk"
 _DOUBTFUL_WORDS = frozenset(re.findall("[a-z]+", _TYPES_DOUBTFUL)) - {"b"}
@@ -144,7 +146,7 @@ class Proposer:
         taken: list[tuple[int, int]] = []
         by_field = _FIELD_TYPE.get(field)
         low = text.lower()
-        has_digit = any(c in "0123456789" for c in text)
+        has_digit = any(map(str.isdigit, text))
         if "@" in text or "＠" in text or "at)" in low or "at]" in low or " dot " in low:
             for m in _MAIL.finditer(text):
                 out.append(self._mail(text, m.start(), m.end(), by_field, field))
@@ -154,7 +156,7 @@ class Proposer:
                 if not any(a < m.end() and m.start() < b for a, b in taken):
                     out.append(self._street(text, m.start(), m.end(), by_field, field))
                     taken.append(m.span())
-        if has_digit or " five " in low:
+        if has_digit or _SPELLED.search(text):
             for m in _NUMBER.finditer(text):
                 start, end = m.span()
                 digits = sum(c.isdigit() for c in m[0])

@@ -63,3 +63,15 @@ def test_long_text(spark, trained):
     proposer = pii.Proposer(*names, pii.PiiConfig().buckets)
     new, n = pii.redact(text, proposer, model)
     assert n == 1 and new.endswith('[PHONE]."}')
+
+
+def test_numbers_in_words_and_other_digits_are_proposed():
+    proposer = pii.Proposer(frozenset(), frozenset(), pii.PiiConfig().buckets)
+    spelled = ["oh seven nine one two three four six eight", "nine-four-four-one-two-three-eight", "five one two three four six eight nine", "Oh Seven NINE one two three four"]
+    for text in spelled:
+        found = proposer.spans(f"Ring {text}, please.", "Text")
+        assert [f"Ring {text}, please."[a:b] for kind, a, b, _, _ in found if kind == "number"] == [text]
+        assert [kind for kind, *_ in proposer.spans(text, "phone")] == ["number"]
+    assert [kind for kind, *_ in proposer.spans("Call +４４ ７７００ ９００７７４ now", "Text")] == ["number"]
+    assert [kind for kind, *_ in proposer.spans("She lives at ８１ Old Mill Road", "Text")] == ["street"]
+    assert proposer.spans("one or two of the seven, then nine", "Text") == []
