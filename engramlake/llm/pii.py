@@ -40,10 +40,8 @@ class PiiConfig:
     buckets: int = 1 << 15
     steps: int = 120
     ridge: float = 1e-5
-    #: A first word of names is a given name if it stands before this many different family names, or one in
-    #: `people_per_family` people if that is more.
+    #: A first word of names is a given name if it stands before this many different family names, however many people there are.
     min_families: int = 2
-    people_per_family: int = 5000
     #: Bound of the gazetteer, which is broadcast.
     max_gazetteer: int = 50_000
 
@@ -165,7 +163,7 @@ class Proposer:
                 if not any(a < end and start < b for a, b in taken):
                     out.append(self._number(text, start, end, by_field, field))
                     taken.append((start, end))
-        for start, end, why in self._names(text):
+        for start, end, why in self._names(text, field):
             if not any(a < end and start < b for a, b in taken):
                 out.append(self._name(text, start, end, why, by_field, field))
                 taken.append((start, end))
@@ -233,7 +231,23 @@ class Proposer:
         )
         return self._row("street", text, start, end, votes, field, (f"t {last}", f"c {capital}"))
 
-    def _names(self, text: str) -> Iterator[tuple[int, int, str]]:
+    def _unknown_pairs(self, text: str, field: str, tokens: list, found: list) -> Iterator[tuple[int, int, str]]:
+        """Two capitalised words outside `found` that a labeler takes for a name, though the first is no known given name."""
+        covered = sorted((a, b) for a, b, _ in found)
+        last = -1
+        for i in range(len(tokens) - 2, -1, -1):  # of three words, the last two
+            (start, stop, first), (at, _, second) = tokens[i], tokens[i + 1]
+            if not (first[:1].isupper() and second[:1].isupper()) or text[stop:at] != " " or len(first) < 2 or stop - start > len(first):
+                continue
+            core = second[:-2] if second[-2:] in ("'s", "’s") else second
+            end = at + len(core)
+            if len(core) < 2 or i + 1 == last or any(a < end and start < b for a, b in covered):
+                continue
+            if _lowered_family(core, self.tails) or field in ("subject", "name", "title") or _CTX["name"].search(re.split(r"[.!?\n]", text[max(0, start - 18) : start])[-1]):
+                last = i
+                yield start, end, "unknown"
+
+    def _names(self, text: str, field: str = "") -> Iterator[tuple[int, int, str]]:
         found: list[tuple[int, int, str]] = []
         for why, pattern in (("title", _TITLED), ("initial", _INITIAL)):
             found += [(*m.span(), why) for m in pattern.finditer(text)]
@@ -273,6 +287,7 @@ class Proposer:
                     start, why = s0, "capital"
             found.append((start, end, why))
             i = j + 1
+        found += list(self._unknown_pairs(text, field, tokens, found))
         found.sort(key=lambda x: (x[0], -x[1]))
         reach = -1
         for start, end, why in found:
@@ -303,16 +318,23 @@ class Proposer:
         return self._row("name", text, start, end, votes, field, (f"why {why}", f"g {words[0]}", f"c {capital}", f"fam {family}", f"nw {next_word.lower()}", f"up {next_word[:1].isupper()}"))
 
 
-def gazetteer(people: DataFrame, config: PiiConfig = PiiConfig()) -> tuple[frozenset, frozenset]:
-    """(given names, last three letters of family names), counted over all names "Given Family" of the people table and
-    bounded by max_gazetteer. The fixed short forms of given names are added."""
-    pair = r"^([A-Z][a-z]+) ([A-Z][a-z]+)$"
-    names = people.select(F.lower(F.regexp_extract("display_name", pair, 1)).alias("g"), F.lower(F.regexp_extract("display_name", pair, 2)).alias("f")).where(
+def gazetteer(people: DataFrame, config: PiiConfig = PiiConfig(), identities: DataFrame | None = None) -> tuple[frozenset, frozenset]:
+    """(given names, last three letters of family names), counted over all different names "Given Family" of the people table
+    and, if given, of channel_identities, and bounded by max_gazetteer. A word that is no less often the last one is no
+    given name. The fixed short forms of given names are added."""
+    word = r"[\p{Lu}\p{Lo}][\p{L}\p{M}]+(?:[-'’]\p{L}[\p{L}\p{M}]*)*"
+    pair = f"^({word}) ({word})$"
+    shown = people.select("display_name")
+    if identities is not None:
+        shown = shown.union(identities.select("display_name"))
+    names = shown.select(F.lower(F.regexp_extract("display_name", pair, 1)).alias("g"), F.lower(F.regexp_extract("display_name", pair, 2)).alias("f")).where(
         (F.col("g") != "") & ~F.col("f").isin(*TRADES) & ~F.col("g").isin(*TRADES)
     ).distinct()
-    known = F.greatest(F.lit(config.min_families), F.lit(people.count() / config.people_per_family))
-    given = names.groupBy("g").count().where(F.col("count") >= known).orderBy(F.desc("count"), "g").limit(config.max_gazetteer)
-    tails = names.where(F.length("f") > 4).groupBy(F.substring("f", -3, 3).alias("t")).count().where(F.col("count") >= known).limit(config.max_gazetteer)
+    last = names.groupBy(F.col("f").alias("g")).agg(F.count("*").alias("as_family"))
+    first = names.groupBy("g").count().where(F.col("count") >= config.min_families).join(last, "g", "left")
+    given = first.where(F.col("count") > F.coalesce("as_family", F.lit(0))).orderBy(F.desc("count"), "g").limit(config.max_gazetteer)
+    tails = names.where(F.length("f") > 4).groupBy(F.substring("f", -3, 3).alias("t")).count().where(F.col("count") >= config.min_families)
+    tails = tails.orderBy(F.desc("count"), "t").limit(config.max_gazetteer)
     fixed = {w for w in NICKNAMES if len(w) > 3} | {w for v in NICKNAMES.values() for w in v.split()}
     return frozenset({r.g for r in given.collect()} | fixed), frozenset(r.t for r in tails.collect())
 
@@ -436,10 +458,10 @@ def found_types(spans: DataFrame, model: dict) -> DataFrame:
     return typed.groupBy("id", "pii_type").agg(F.sum("n").cast("long").alias("n"))
 
 
-def detect(memories: DataFrame, people: DataFrame, config: PiiConfig = PiiConfig()) -> tuple[DataFrame, dict, tuple]:
+def detect(memories: DataFrame, people: DataFrame, config: PiiConfig = PiiConfig(), identities: DataFrame | None = None) -> tuple[DataFrame, dict, tuple]:
     """(spans, model, names) for `memories` (id, content_json); rows delivered twice are read once. Null and broken
     content gives no span; empty tables give an empty result."""
-    names = gazetteer(people, config)
+    names = gazetteer(people, config, identities)
     once = memories.select("id", "content_json")
     spans = checkpointed(proposed_spans(once, names, config))
     return spans, fit(spans, config), names

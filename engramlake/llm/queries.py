@@ -28,18 +28,18 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    spans, model, _ = pii.detect(table(spark, d, "memories"), table(spark, d, "people"))
+    spans, model, _ = pii.detect(table(spark, d, "memories"), table(spark, d, "people"), identities=table(spark, d, "channel_identities"))
     return pii.found_types(spans, model).select("id", "pii_type")
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     memories = table(spark, d, "memories")
-    _, model, names = pii.detect(memories, table(spark, d, "people"))
+    _, model, names = pii.detect(memories, table(spark, d, "people"), identities=table(spark, d, "channel_identities"))
     return pii.redacted(memories.select("id", "content_json").distinct(), model, names)
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    spans, model, _ = pii.detect(table(spark, d, "memories"), table(spark, d, "people"))
+    spans, model, _ = pii.detect(table(spark, d, "memories"), table(spark, d, "people"), identities=table(spark, d, "channel_identities"))
     return pii.found_types(spans, model).groupBy("pii_type").agg(F.count("*").alias("n_memories"), F.sum("n").alias("n_items"))
 
 
