@@ -12,16 +12,20 @@ _LOOKALIKES = str.maketrans(
 #: Digits and signs written for letters, fixed values.
 _LEET = str.maketrans("013457@$!€+", "oieastasiet")
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .·\-_*])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .·\-_*]{1,3})[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
+_GAPS = re.compile(r"[ .·\-_*]")
+#: Signs without which no word is changed by `_word`.
+_SIGNS = re.compile("[0-9@$!€+*'’]")
 #: Digits that stand for letters only in words, in both readings of 6, fixed values.
 _RARE_LEET = (str.maketrans("2689", "zgbg"), str.maketrans("2689", "zbbg"))
-_WORDLIKE = re.compile(r"(?<=[぀-ヿ㐀-鿿])\*+(?=[぀-ヿ㐀-鿿])|(?<=(?<!\w)[぀-ヿ㐀-鿿])\*+|(?:[^\W぀-ヿ㐀-鿿]|[@$!€+*'’])+")
+_SIGNED = re.compile(r"(?<=[぀-ヿ㐀-鿿])\*+(?=[぀-ヿ㐀-鿿])|(?<=(?<!\w)[぀-ヿ㐀-鿿])\*+|[^\W0-9぀-ヿ㐀-鿿]*+[0-9@$!€+*'’](?:[^\W぀-ヿ㐀-鿿]|[@$!€+*'’])*")
 _NUMBER = re.compile(r"[0-9]*[2689][0-9]*")
 _REPEATED = re.compile(r"([^\W\d_])\1+")
 _MASKED = re.compile(r"^([^\W\d_])\*+([^\W\d_]?)\W*$")
 #: Sounds between the sentences of spoken text, fixed values.
 _FILLERS = frozenset(("um", "uh", "ah", "euh", "eh", "em"))
 _LATIN = re.compile(r"[a-z]")
+_WORDS = re.compile(r"[^\W\d_]+\*?[^\W\d_]*|(?<=[぀-ヿ㐀-鿿] )\*")
 _ENDS = re.compile("[\n\r\t\v\f  |;]+|[.!?…]+(?=[\\s\"'»)\\]]|$)|[。！？；]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 
@@ -74,21 +78,33 @@ def _letters(core: str) -> str:
 
 
 def fold(text: str) -> str:
-    """Lower-case text without accents, hidden characters, look-alike letters, spaced or stretched words
-    and digits for letters; line breaks and sentence ends stay."""
-    t = _HIDDEN.sub("", unicodedata.normalize("NFKC", repair(text))).lower().translate(_LOOKALIKES)
-    t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
-    t = _SPACED.sub(lambda m: re.sub(r"[ .·\-_*]", "", m[0]), t)
-    t = _WORDLIKE.sub(_word, t)
-    return _REPEATED.sub(r"\1", t)
+    """Lower-case text without accents, hidden characters, look-alike letters and spaces between the letters
+    of a word; line breaks and sentence ends stay."""
+    if text.isascii():
+        t = text.lower()
+    else:
+        t = _HIDDEN.sub("", unicodedata.normalize("NFKC", repair(text))).lower().translate(_LOOKALIKES)
+        t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    return _SPACED.sub(lambda m: _GAPS.sub("", m[0]), t)
 
 
-def pieces(text: str, words: int = 16, step: int = 6) -> list[list[str]]:
-    """Words of each sentence or line of the folded text. Text without such ends is cut into windows of
-    `words` words that overlap, and at the fillers of speech, Chinese into its characters. Every word is in some piece."""
+def _plain(sentence: str) -> str:
+    """A folded sentence with letters for the signs in its words and single letters for stretched ones."""
+    if _SIGNS.search(sentence):
+        sentence = _SIGNED.sub(_word, sentence)
+    return _REPEATED.sub(r"\1", sentence)
+
+
+def line_pieces(line: str, words: int = 16, step: int = 6) -> list[list[str]]:
+    """Words of each sentence of one line; see `pieces`."""
     out = []
-    for part in _ENDS.split(fold(text)):
-        found = re.findall(r"[^\W\d_]+\*?[^\W\d_]*|(?<=[぀-ヿ㐀-鿿] )\*", _CJK.sub(r" \g<0> ", part))
+    for part in _ENDS.split(fold(line)):
+        part = _plain(part)
+        found = _WORDS.findall(part if part.isascii() else _CJK.sub(r" \g<0> ", part))
+        if len(found) <= words and _FILLERS.isdisjoint(found):
+            if found:
+                out.append(found)
+            continue
         start = 0
         for i, w in enumerate([*found, "um"]):
             if w in _FILLERS:
@@ -97,6 +113,12 @@ def pieces(text: str, words: int = 16, step: int = 6) -> list[list[str]]:
     return out
 
 
+def pieces(text: str, words: int = 16, step: int = 6) -> list[list[str]]:
+    """Words of each sentence or line of the folded text. Text without such ends is cut into windows of
+    `words` words that overlap, and at the fillers of speech, Chinese into its characters. Every word is in some piece."""
+    return [p for line in text.splitlines() for p in line_pieces(line, words, step)]
+
+
 def _windows(found: list[str], words: int, step: int) -> list[list[str]]:
     if not found:
         return []

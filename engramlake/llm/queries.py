@@ -67,22 +67,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
-def _severities(spark: SparkSession, d: str) -> DataFrame:
+def _severities(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     docs = table(spark, d, "documents")
     model = toxicity.fit(docs, table(spark, d, "doc_labels"))
-    return toxicity.score_documents(docs.select("doc_id", "text", mixing.source_name(F.col("source")).alias("source")), model)
+    return toxicity.score_documents(docs.select("doc_id", "text", mixing.source_name(F.col("source")).alias("source")), model), model
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.to_review(_severities(spark, d)).select("doc_id").distinct()
+    return toxicity.to_review(*_severities(spark, d)).select("doc_id").distinct()
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _severities(spark, d)
+    return _severities(spark, d)[0]
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.rates(_severities(spark, d))
+    return toxicity.rates(*_severities(spark, d))
 
 
 QUERIES = {

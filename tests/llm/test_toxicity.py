@@ -27,7 +27,7 @@ def test_held_out_accuracy(spark):
     docs = spark.createDataFrame(rows, DOC)
     model = toxicity.fit(docs, spark.createDataFrame(labels[:350] + [(1, "r2", None, ""), (None, "r1", 1, ""), (9999, "r1", 1, "")], LABEL))
     got = {r.doc_id: r.severity for r in toxicity.score_documents(docs, model).collect()}
-    hit = {i for i, s in got.items() if s >= toxicity.ToxicityConfig().review_from}
+    hit = {i for i, s in got.items() if s >= model["review_from"]}
     held = range(350, 500)
     assert sum((i in hit) == (i % 5 == 0) for i in held) / 150 >= 0.95
 
@@ -36,18 +36,19 @@ def test_dirt_copies_and_rates(spark):
     rows, labels = corpus(200, 2)
     odd = [(1000, None, None, 1), (1001, "", "chat", 1), (1002, " \n ", "chat", 1), (1003, rows[0][1], "chat", 1), (1003, rows[0][1], "chat", 1), (1004, "long text without stops " * 20_000, "chat", 1)]
     docs = spark.createDataFrame(rows + odd, DOC)
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, spark.createDataFrame(labels, LABEL))).cache()
+    model = toxicity.fit(docs, spark.createDataFrame(labels, LABEL))
+    scored = toxicity.score_documents(docs, model).cache()
     got = {r.doc_id: (r.severity, r.worst) for r in scored.collect()}
     assert got[1000] == got[1001] == got[1002] == (0.0, None)
     assert got[1003] == got[0] and scored.count() == 206
-    by = {r.source: r for r in toxicity.rates(scored).collect()}
+    by = {r.source: r for r in toxicity.rates(scored, model).collect()}
     assert by["chat"].n_docs == 205 and by[None].n_review == 0
 
 
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "fine", "a", 1)], DOC)
     model = toxicity.fit(docs, spark.createDataFrame([], LABEL))
-    assert toxicity.to_review(toxicity.score_documents(docs, model)).count() == 0
+    assert toxicity.to_review(toxicity.score_documents(docs, model), model).count() == 0
 
 
 def test_folding():
@@ -67,3 +68,12 @@ def test_digits_take_no_words_away():
     assert folding.pieces("你这傻*滚") == [list("你这傻*滚")] and folding.pieces("傻*") == [["傻", "*"]]
     assert "fag" in folding.pieces("fa9")[0] and "fagot" in folding.pieces("fa66ot")[0]
     assert folding.pieces("28 6.9 2025-06-29") == [] and folding.pieces("12kg") == [["kg"]]
+
+
+def test_scorer_sums_the_features():
+    rng = random.Random(4)
+    words = [rng.choice("you are a worthless idiot b*h and the 垃 圾 lamp".split()) for _ in range(40)]
+    weights = {f: rng.random() for f in toxicity.features(words) if rng.random() < 0.7}
+    for n in range(1, 40):
+        want = sum(weights.get(f, 0.0) for f in toxicity.features(words[:n]))
+        assert abs(toxicity.Scorer(weights).piece(words[:n]) - want) < 1e-9
