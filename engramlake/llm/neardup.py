@@ -46,8 +46,6 @@ class NearDupConfig:
     #: Registers of the joint estimate, and the odds by which it must speak against the least overlap.
     estimated: int = 48
     strongly_against: float = 1e5
-    #: The registers of all classes, and the classes in likely pairs, are broadcast up to this size; beyond it they are joined by a shuffle.
-    broadcast_bytes: int = 64 << 20
     seed: int = 20250101
 
     @property
@@ -208,11 +206,12 @@ def _handle():
     return F.conv(F.substring(F.hex("text_class"), 1, 16), 16, -10).cast("bigint")
 
 
-def similar_classes(rows: DataFrame, n_classes: int, config: NearDupConfig = NearDupConfig()) -> DataFrame:
+def similar_classes(rows: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """Verified pairs (class_a, class_b), class_a < class_b, of different texts.
 
     rows: of `sketched`; copies of a text are reduced to one before anything is compared. A band value that very many texts share is
-    joined in slices by Spark's skew handling; nothing is capped. A pair is compared on its words once.
+    joined in slices by Spark's skew handling; nothing is capped. A pair is compared on its words once. Nothing is broadcast:
+    registers and words are joined to the pairs by shuffles.
     """
     classes = rows.groupBy("text_class").agg(*[F.first(c).alias(c) for c in ("n_words", "bands", "probe", "wide")])
     # 8 bytes of the digest stand for the text here; should two texts share them, both are verified below
@@ -237,18 +236,15 @@ def similar_classes(rows: DataFrame, n_classes: int, config: NearDupConfig = Nea
         return pd.Series(near_by_likelihood(list(a), list(b), n_a.to_numpy(float), n_b.to_numpy(float), config), dtype=bool)
 
     wide = classes.select(_handle().alias("c"), "wide", "n_words")
-    sent = F.broadcast if n_classes * (2 * config.estimated + 64) <= config.broadcast_bytes else lambda df: df
     guessed = checkpointed(
-        near.join(sent(wide.toDF("a", "wa", "na")), "a").join(sent(wide.toDF("b", "wb", "nb")), "b")
+        near.join(wide.toDF("a", "wa", "na").hint("merge"), "a").join(wide.toDF("b", "wb", "nb").hint("merge"), "b")
         .where(likely("wa", "wb", "na", "nb")).select("a", "b").distinct()
     )
     # only the words of texts in likely pairs are moved
     wanted = guessed.select(F.col("a").alias("c")).union(guessed.select("b")).distinct()
-    if guessed.count() * 2 * 24 <= config.broadcast_bytes:
-        wanted = F.broadcast(wanted)
-    held = rows.select(_handle().alias("c"), "text_class", "bag").join(wanted, "c", "left_semi")
-    bag = held.groupBy("text_class").agg(F.first("c").alias("c"), F.first("bag").alias("bag")).select("c", "text_class", "bag")
-    both = guessed.join(bag.toDF("a", "ta", "ba"), "a").join(bag.toDF("b", "tb", "bb"), "b")
+    held = rows.select(_handle().alias("c"), "text_class", "bag").join(wanted.hint("merge"), "c", "left_semi")
+    bag = held.groupBy("c", "text_class").agg(F.first("bag").alias("bag"))
+    both = guessed.join(bag.toDF("a", "ta", "ba").hint("merge"), "a").join(bag.toDF("b", "tb", "bb").hint("merge"), "b")
     return both.where(verified("ba", "bb")).select(F.least("ta", "tb").alias("class_a"), F.greatest("ta", "tb").alias("class_b"))
 
 
@@ -297,7 +293,7 @@ def near_duplicates(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -
     """
     rows = checkpointed(sketched(texts, config))
     members = rows.select("id", "text_class").distinct()
-    return members, similar_classes(rows, members.select("text_class").distinct().count(), config)
+    return members, similar_classes(rows, config)
 
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -37,8 +37,12 @@ def test_against_brute_force_with_hot_copies(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
     report = {r.id: r for r in nd.duplicate_report(members, pairs).collect()}
     assert report["hot001"].copies == 40 and report["hot001"].links == 0
-    shuffled = nd.near_duplicates(df, nd.NearDupConfig(broadcast_bytes=0))
-    assert {tuple(r) for r in nd.duplicate_pairs(*shuffled).collect()} == got
+
+
+def test_classes_are_joined_by_shuffles(spark, capsys):
+    members, pairs = nd.near_duplicates(spark.createDataFrame(corpus(), "id string, text string"))
+    pairs.explain("formatted")
+    assert "Broadcast" not in capsys.readouterr().out
 
 
 def test_long_text_sketched_in_parts():
