@@ -37,10 +37,10 @@ class NearDupConfig:
     rows: int = 7
     #: Base of the exponential scale; near 1 registers agree as often as sets overlap.
     base: float = 1.02
-    #: Largest register value (q + 1 of the sketch).
+    #: Largest register value (q + 1 of the sketch); a register takes twelve bits.
     levels: int = 4095
     #: Registers beside the bands from which a pair's overlap is estimated; four bits of each are kept.
-    probes: int = 13
+    probes: int = 15
     #: Odds by which the likelihood must speak against the least overlap for a pair to be left out.
     against: float = 20.0
     #: Registers of the joint estimate, and the odds by which it must speak against the least overlap.
@@ -90,6 +90,19 @@ def registers(hashes: np.ndarray, config: NearDupConfig, m: int) -> np.ndarray:
     return out
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Registers of twelve bits, two in three bytes; an odd number is filled up with a zero."""
+    v = np.append(values, 0) if len(values) % 2 else values
+    a, b = v[0::2].astype(np.uint32), v[1::2].astype(np.uint32)
+    return np.stack([a >> 4, (a & 15) << 4 | b >> 8, b & 255], 1).astype(np.uint8).tobytes()
+
+
+def unpacked(rows: list[bytes], n: int) -> np.ndarray:
+    """The first n registers of each packed row."""
+    x = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1, 3).astype(np.uint16)
+    return np.stack([x[:, :, 0] << 4 | x[:, :, 1] >> 4, (x[:, :, 1] & 15) << 8 | x[:, :, 2]], 2).reshape(len(rows), -1)[:, :n]
+
+
 class Sketcher:
     """Sketches of batches of texts; remembers the registers of elements it has met."""
 
@@ -143,7 +156,7 @@ def sketched(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataF
     """(id, text_class, n_words, bands, probe, wide, bag) of (id, text) with enough words.
 
     text_class: digest of the multiset, equal for texts that differ by case, punctuation, blanks or order
-    only; wide: registers for the joint estimate; bag: sorted 32-bit hashes of the elements. Null, empty and short texts give no row. No shuffle.
+    only; wide: packed registers for the joint estimate; bag: sorted 32-bit hashes of the elements. Null, empty and short texts give no row. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +184,7 @@ def sketched(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataF
                 sizes.append(len(hs))
                 bands.append(key)
                 probes.append(probe)
-                wides.append(sketch[: config.estimated].tobytes())
+                wides.append(packed(sketch[: config.estimated]))
                 bags.append(np.sort((every & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes())
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, config.bands, dtype=np.int32)), pa.array(flat))
@@ -213,9 +226,10 @@ def similar_classes(rows: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     joined in slices by Spark's skew handling; nothing is capped. A pair is compared on its words once. Nothing is broadcast:
     registers and words are joined to the pairs by shuffles.
     """
-    classes = rows.groupBy("text_class").agg(*[F.first(c).alias(c) for c in ("n_words", "bands", "probe", "wide")])
-    # 8 bytes of the digest stand for the text here; should two texts share them, both are verified below
-    short = classes.select(F.explode("bands").alias("key"), _handle().alias("c"), F.col("n_words").cast("int"), "probe")
+    # 8 bytes of the digest stand for the text
+    coded = rows.select(_handle().alias("c"), F.col("n_words").cast("int"), "probe", "bands", "wide")
+    first = lambda *cs: coded.groupBy("c").agg(*[F.first(c).alias(c) for c in cs])
+    short = first("n_words", "bands", "probe").select(F.explode("bands").alias("key"), "c", "n_words", "probe")
     differing = F.lit(config.probes) - _agreeing(F.col("x.probe"), F.col("y.probe"))
     near = (
         short.alias("x").join(short.alias("y"), "key")
@@ -235,7 +249,7 @@ def similar_classes(rows: DataFrame, config: NearDupConfig = NearDupConfig()) ->
 
         return pd.Series(near_by_likelihood(list(a), list(b), n_a.to_numpy(float), n_b.to_numpy(float), config), dtype=bool)
 
-    wide = classes.select(_handle().alias("c"), "wide", "n_words")
+    wide = first("wide", "n_words")
     guessed = checkpointed(
         near.join(wide.toDF("a", "wa", "na").hint("merge"), "a").join(wide.toDF("b", "wb", "nb").hint("merge"), "b")
         .where(likely("wa", "wb", "na", "nb")).select("a", "b").distinct()
@@ -253,7 +267,7 @@ def near_by_likelihood(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.
     the one or larger in the other, given both sizes."""
     if not a:
         return np.zeros(0, bool)
-    x, y = (np.frombuffer(b"".join(v), np.uint16).reshape(len(v), -1) for v in (a, b))
+    x, y = (unpacked(v, config.estimated) for v in (a, b))
     equal, more = (x == y).sum(1), (x > y).sum(1)
     less = x.shape[1] - equal - more
     both = n_a + n_b

@@ -45,6 +45,14 @@ def test_classes_are_joined_by_shuffles(spark, capsys):
     assert "Broadcast" not in capsys.readouterr().out
 
 
+def test_packed_registers():
+    import numpy as np
+
+    for n in (1, 7, 48):
+        rows = np.random.default_rng(n).integers(0, 4096, (5, n)).astype(np.uint16)
+        assert (nd.unpacked([nd.packed(r) for r in rows], n) == rows).all()
+
+
 def test_long_text_sketched_in_parts():
     config = nd.NearDupConfig()
     s = nd.Sketcher(config, remember=1000)
