@@ -93,7 +93,9 @@ def mix(documents: DataFrame, targets: DataFrame, config: MixConfig = MixConfig(
     ).where("source is not null and share > 0 and cap > 0").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
     docs = checkpointed(documents.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
     counted = docs.where("n_tokens > 0 and source is not null").groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs"))
-    histogram = checkpointed(counted.join(F.broadcast(wanted.limit(config.max_sources)), "source"))
+    if (n_sources := wanted.count()) > config.max_sources:
+        raise ValueError(f"{n_sources} target sources, more than max_sources ({config.max_sources})")
+    histogram = checkpointed(counted.join(F.broadcast(wanted), "source"))  # at most max_sources rows
     totals = histogram.groupBy("source").agg(
         F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"), F.sum("n_docs").alias("docs"), F.first("share").alias("share"), F.first("cap").alias("cap")
     ).collect()

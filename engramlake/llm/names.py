@@ -104,6 +104,10 @@ def parse(name: str | None, handle: bool = False) -> list[tuple[str, str, str]]:
     return [("p", brand[0], brand[-1])]
 
 
+#: Least ratio of the longest common subsequence to the longer of two names that may be one.
+LEAST_RATIO = 0.75
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)
@@ -115,17 +119,15 @@ def common_subsequence(a: str, b: str) -> int:
 
 
 def same_family(a: str, b: str) -> bool:
-    """Whether two family or firm names differ by typing only: all but one letter in common, in order, or all but two
-    of long ones that begin or end alike."""
+    """Whether two family or firm names differ by typing only: their ratio reaches LEAST_RATIO, at most two letters are not in
+    common, and they begin or end alike, by more letters where it is two."""
     if a == b:
         return True
     n = max(len(a), len(b))
-    if min(len(a), len(b)) < 4 or n - min(len(a), len(b)) > 2:
+    least = max(LEAST_RATIO * n, n - 2)
+    if min(len(a), len(b)) < max(4, least) or (common := common_subsequence(a, b)) < least:
         return False
-    common = common_subsequence(a, b)
-    if common >= n - 1 and (a[0] == b[0] or a[-2:] == b[-2:]):
-        return True
-    return n >= 8 and common >= n - 2 and (a[:3] == b[:3] or a[-3:] == b[-3:])
+    return common >= n - 1 and (a[0] == b[0] or a[-2:] == b[-2:]) or n >= 8 and (a[:3] == b[:3] or a[-3:] == b[-3:])
 
 
 def _full(given: str) -> set[str]:
@@ -144,7 +146,7 @@ def same_given(a: str, b: str) -> int:
     for x in full_a:
         for y in full_b:
             n = max(len(x), len(y))
-            if min(len(x), len(y)) >= 4 and common_subsequence(x, y) >= n - 1 and (x[0] == y[0] or x[-2:] == y[-2:]):
+            if min(len(x), len(y)) >= 4 and common_subsequence(x, y) >= max(n - 1, LEAST_RATIO * n) and (x[0] == y[0] or x[-2:] == y[-2:]):
                 return 2
     if min(len(a), len(b)) >= 2 and (a.startswith(b) or b.startswith(a)):
         return 1

@@ -40,12 +40,14 @@ class PiiConfig:
     buckets: int = 1 << 15
     steps: int = 120
     ridge: float = 1e-5
-    #: A first word of names is a given name if it stands before this many different family names, or one in
-    #: `people_per_family` people if that is more.
+    #: A first word of names is a given name if it stands before this many different family names and is no misspelling, that
+    #: is not one letter from a first word that `misspelled` times as many people have. Neither depends on the size of the tables.
     min_families: int = 2
-    people_per_family: int = 5000
-    #: Bound of the gazetteer, which is broadcast.
-    max_gazetteer: int = 50_000
+    misspelled: float = 10.0
+    #: An ending of family names is known if this share of all people has it.
+    ending_share: float = 0.0005
+    #: Bound of the gazetteer, which is broadcast; beyond it an error is raised.
+    max_gazetteer: int = 500_000
 
 
 _AT = r"(?:@|＠|\s?\(at\)\s?|\s?\[at\]\s?)"
@@ -304,17 +306,29 @@ class Proposer:
 
 
 def gazetteer(people: DataFrame, config: PiiConfig = PiiConfig()) -> tuple[frozenset, frozenset]:
-    """(given names, last three letters of family names), counted over all names "Given Family" of the people table and
-    bounded by max_gazetteer. The fixed short forms of given names are added."""
+    """(given names, last three letters of family names), counted over all names "Given Family" of the people table; a person
+    of several rows counts once for a name. The fixed short forms of given names are added. More names than max_gazetteer raise ValueError."""
     pair = r"^([A-Z][a-z]+) ([A-Z][a-z]+)$"
-    names = people.select(F.lower(F.regexp_extract("display_name", pair, 1)).alias("g"), F.lower(F.regexp_extract("display_name", pair, 2)).alias("f")).where(
+    names = people.select(canonical_id(F.col("id")).alias("id"), F.lower(F.regexp_extract("display_name", pair, 1)).alias("g"), F.lower(F.regexp_extract("display_name", pair, 2)).alias("f")).where(
         (F.col("g") != "") & ~F.col("f").isin(*TRADES) & ~F.col("g").isin(*TRADES)
     ).distinct()
-    known = F.greatest(F.lit(config.min_families), F.lit(people.count() / config.people_per_family))
-    given = names.groupBy("g").count().where(F.col("count") >= known).orderBy(F.desc("count"), "g").limit(config.max_gazetteer)
-    tails = names.where(F.length("f") > 4).groupBy(F.substring("f", -3, 3).alias("t")).count().where(F.col("count") >= known).limit(config.max_gazetteer)
+    counted = names.groupBy("g", "f").agg(F.count("*").alias("n"))
+    first = counted.groupBy("g").agg(F.sum("n").alias("people"), F.count("*").alias("families"))
+    # words that differ by one letter, or by two that are swapped, share what is left without a letter
+    left = F.transform(F.sequence(F.lit(1), F.length("g")), lambda i: F.concat(F.substring(F.col("g"), F.lit(1), i - 1), F.substring(F.col("g"), i + 1, F.length("g"))))
+    spelled = first.select("g", "people", F.explode(F.array_distinct(F.concat(F.array("g"), left))).alias("key"))
+    wrong = spelled.alias("x").join(spelled.groupBy("key").agg(F.max("people").alias("most")), "key").where(F.col("most") >= config.misspelled * F.col("people")).select("g").distinct()
+    given = first.where(F.col("families") >= config.min_families).join(wrong, "g", "left_anti").select("g")
+    all_people = names.agg(F.count("*").alias("all"))
+    tails = (
+        counted.where(F.length("f") > 4).groupBy(F.substring("f", -3, 3).alias("t")).agg(F.sum("n").alias("people"), F.countDistinct("f").alias("families"))
+        .join(F.broadcast(all_people)).where((F.col("families") >= config.min_families) & (F.col("people") >= config.ending_share * F.col("all")))  # one row
+    )
     fixed = {w for w in NICKNAMES if len(w) > 3} | {w for v in NICKNAMES.values() for w in v.split()}
-    return frozenset({r.g for r in given.collect()} | fixed), frozenset(r.t for r in tails.collect())
+    known = [r.g for r in given.limit(config.max_gazetteer + 1).collect()]
+    if len(known) > config.max_gazetteer:
+        raise ValueError(f"more than {config.max_gazetteer} given names; raise max_gazetteer")
+    return frozenset({*known, *fixed}), frozenset(r.t for r in tails.select("t").collect())  # at most 26 ** 3 endings
 
 
 _SPANS = T.StructType([
@@ -324,25 +338,30 @@ _SPANS = T.StructType([
 
 
 def proposed_spans(memories: DataFrame, names: tuple[frozenset, frozenset], config: PiiConfig = PiiConfig()) -> DataFrame:
-    """(id, kind, votes, features, n) of all proposed spans; equal ones of one memory are one row, counted. Whole contents are read."""
+    """(id, kind, votes, features, n) of all proposed spans; equal ones of one memory are one row, counted, whether it was
+    delivered once or more often. Whole contents are read; only the spans are shuffled."""
     sent = memories.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proposer = Proposer(*sent.value, config.buckets)
         for batch in batches:
-            rows: dict[tuple, int] = {}
+            found: list[tuple] = []
+            counts: list[int] = []
             for i, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows: dict[tuple, int] = {}
                 for _, _, text, field in strings_of(content) if content else ():
                     for kind, _, _, votes, feats in proposer.spans(text, field):
                         row = (i, kind, votes, tuple(feats))
                         rows[row] = rows.get(row, 0) + 1
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
+                found += rows
+                counts += rows.values()
+            cols = list(zip(*found)) if found else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array([list(x) for x in cols[3]], pa.list_(pa.int32())), pa.array(list(rows.values()), pa.int32())],
+                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array([list(x) for x in cols[3]], pa.list_(pa.int32())), pa.array(counts, pa.int32())],
                 names=[f.name for f in _SPANS],
             )
 
-    return memories.select(canonical_id(F.col("id")).alias("id"), "content_json").mapInArrow(run, _SPANS)
+    return memories.select(canonical_id(F.col("id")).alias("id"), "content_json").mapInArrow(run, _SPANS).distinct()
 
 
 #: Labelers that know what a span is not; they are held to be wrong about a span with a type once in 200 times, with the weight of half the spans.
@@ -437,17 +456,16 @@ def found_types(spans: DataFrame, model: dict) -> DataFrame:
 
 
 def detect(memories: DataFrame, people: DataFrame, config: PiiConfig = PiiConfig()) -> tuple[DataFrame, dict, tuple]:
-    """(spans, model, names) for `memories` (id, content_json); rows delivered twice are read once. Null and broken
+    """(spans, model, names) for `memories` (id, content_json); spans of rows delivered twice count once. Null and broken
     content gives no span; empty tables give an empty result."""
     names = gazetteer(people, config)
-    once = memories.select("id", "content_json")
-    spans = checkpointed(proposed_spans(once, names, config))
+    spans = checkpointed(proposed_spans(memories, names, config))
     return spans, fit(spans, config), names
 
 
 def redacted(memories: DataFrame, model: dict, names: tuple, config: PiiConfig = PiiConfig()) -> DataFrame:
     """(id, content_json, n_found): contents with typed placeholders in place of personal information; all else,
-    blanks and escapes included, stays as it was. A null content stays null. No shuffle."""
+    blanks and escapes included, stays as it was. One row for each row given, so one delivered twice comes twice. A null content stays null. No shuffle."""
     sent = memories.sparkSession.sparkContext.broadcast((model, names))
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("content_json", T.StringType()), T.StructField("n_found", T.IntegerType())])
 

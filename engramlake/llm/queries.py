@@ -35,7 +35,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     memories = table(spark, d, "memories")
     _, model, names = pii.detect(memories, table(spark, d, "people"))
-    return pii.redacted(memories.select("id", "content_json").distinct(), model, names)
+    return pii.redacted(memories, model, names)
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from engramlake.llm.mixing import MixConfig, mix, shares
 
 DOC, TARGET = "doc_id bigint, source string, n_tokens int", "source string, target_share double, max_repeats int"
@@ -37,3 +39,10 @@ def test_empty_and_missing_sources(spark):
     assert {(r.doc_id, r.copies) for r in mix(docs, targets).collect()} == {(1, 1), (2, 0)}
     assert mix(docs.limit(0), targets).count() == 0
     assert sum(r.copies for r in mix(docs, targets.limit(0)).collect()) == 0
+
+
+def test_too_many_sources_raise(spark):
+    docs = spark.createDataFrame([(1, "a", 5)], "doc_id bigint, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mix(docs, targets, MixConfig(max_sources=1))

@@ -75,3 +75,23 @@ def test_numbers_in_words_and_other_digits_are_proposed():
     assert [kind for kind, *_ in proposer.spans("Call +４４ ７７００ ９００７７４ now", "Text")] == ["number"]
     assert [kind for kind, *_ in proposer.spans("She lives at ８１ Old Mill Road", "Text")] == ["street"]
     assert proposer.spans("one or two of the seven, then nine", "Text") == []
+
+
+def test_gazetteer_is_the_same_in_a_larger_store(spark):
+    given, families = ["Walter", "Ingrid", "Pavel", "Noor"], ["Abelsson", "Brandt", "Cortés", "Dahlmann", "Ekberg"]
+    rows = [(f"{g}{f}", f"{g} {f}") for g in given for f in families] + [("t1", "Water Brandt"), ("t2", "Water Ekberg"), ("o", "Harbour Logistics"), ("n", None)]
+    larger = [(f"{i}x{k}", n) for k in range(10) for i, n in rows]
+    schema = "id string, display_name string"
+    small, large = pii.gazetteer(spark.createDataFrame(rows * 2, schema)), pii.gazetteer(spark.createDataFrame(larger, schema))
+    assert small == large and {"walter", "ingrid", "pavel", "noor"} <= small[0]
+    # the misspelling is told by the people who bear the other name, whatever the size
+    many = [(f"w{i}", f"Walter {f}") for i in range(5) for f in families]
+    assert "water" not in pii.gazetteer(spark.createDataFrame(rows + many, schema))[0]
+
+
+def test_rows_delivered_twice_count_once(spark):
+    people = spark.createDataFrame([("a", "Ann Lee")], "id string, display_name string")
+    content = '{"Text":"Mail me at ann.lee@example.org or bob.ray@example.org today"}'
+    rows = [("a1", content), ("A1", content), ("b1", content), (None, content)]
+    spans, model, _ = pii.detect(spark.createDataFrame(rows, "id string, content_json string"), people)
+    assert spans.where("id = 'a1'").agg({"n": "sum"}).first()[0] == spans.where("id = 'b1'").agg({"n": "sum"}).first()[0]
