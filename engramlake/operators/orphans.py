@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from engramlake.functions.bitmaps import RANGE_BITS, members, minus, pack
 from engramlake.functions.ids import canonical_id
+from engramlake.session import checkpointed
 
 
 @dataclass(frozen=True)
 class OrphanConfig:
-    #: Hash buckets of the dictionary; a bucket is numbered in one task, so that keys / buckets must fit a task.
-    dictionary_buckets: int = 1024
+    #: Keys, about, of a hash bucket of the dictionary, which is numbered in one task; there are as many buckets as that takes.
+    keys_per_bucket: int = 100_000
+    least_buckets: int = 256
+    #: A target that more than one in so many references name is joined apart from the others; there cannot be more of them than this.
+    hot_targets: int = 1000
 
 
 def memory_links(memories: DataFrame) -> DataFrame:
@@ -43,17 +47,14 @@ def context_references(contexts: DataFrame) -> DataFrame:
     ).select("ref_table", "ref_id", canonical_id(F.col("target")).alias("target_id"), "period").where("target_id is not null")
 
 
-def _bucket(key: Column, config: OrphanConfig) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(config.dictionary_buckets)).cast("int")
-
-
-def dictionary(keys: DataFrame, config: OrphanConfig) -> DataFrame:
-    """(bucket, code, key): distinct keys, numbered from 0 within their hash bucket. Buckets are
+def dictionary(keys: DataFrame, most_keys: int, config: OrphanConfig) -> DataFrame:
+    """(bucket, code, key): distinct keys, most_keys of them at most, numbered from 0 within their hash bucket. Buckets are
     numbered in parallel, so no task sees more than its share of the keys."""
+    n_buckets = max(config.least_buckets, -(-most_keys // config.keys_per_bucket))
     w = Window.partitionBy("bucket").orderBy("key")
     return (
         keys.where("key is not null").distinct()
-        .select(_bucket(F.col("key"), config).alias("bucket"), "key")
+        .select(F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int").alias("bucket"), "key")
         .select("bucket", "key", (F.row_number().over(w) - 1).alias("code"))
     )
 
@@ -75,7 +76,8 @@ def orphan_keys(references: DataFrame, parents: DataFrame, config: OrphanConfig
     A null period is a period of its own. Empty references give no row; with empty parents all are orphans.
     """
     named = references.select("ref_table", "period", F.col("target_id").alias("key")).where("key is not null").distinct()
-    codes = dictionary(named.select("key").union(parents.select("key")), config)
+    most = references.count() + parents.count()
+    codes = dictionary(named.select("key").union(parents.select("key")), most, config)
     has = named.join(codes, "key").select("ref_table", "period", "bucket", "code")
     stored = parents.where("key is not null").distinct().join(codes, "key").select("bucket", "code")
     left = (
@@ -89,11 +91,18 @@ def orphan_keys(references: DataFrame, parents: DataFrame, config: OrphanConfig
 
 
 def orphan_references(references: DataFrame, parents: DataFrame, config: OrphanConfig = OrphanConfig()) -> DataFrame:
-    """Distinct (ref_table, ref_id, target_id, period) whose target has no parent; see orphan_keys."""
-    lost = orphan_keys(references, parents, config).select("target_id").distinct()
-    return references.select("ref_table", "ref_id", "target_id", "period").join(lost, "target_id", "left_semi").select(
-        "ref_table", "ref_id", "target_id", "period"
-    ).distinct()
+    """Distinct (ref_table, ref_id, target_id, period) whose target has no parent; see orphan_keys.
+
+    A target that very many references name is looked up in a broadcast of at most hot_targets rows, so that no task gets all
+    its references; the others are joined by key. Rows come out in no partitioning that a later step could rely on.
+    """
+    refs = checkpointed(references.select("ref_table", "ref_id", "target_id", "period").distinct())
+    lost = orphan_keys(refs, parents, config).select("target_id").distinct()
+    n = refs.count()
+    hot = refs.groupBy("target_id").agg(F.count("*").alias("n")).where(F.col("n") * config.hot_targets > n).select("target_id")
+    often = refs.join(F.broadcast(hot.join(lost, "target_id", "left_semi")), "target_id", "left_semi")
+    seldom = refs.join(F.broadcast(hot), "target_id", "left_anti").join(lost, "target_id", "left_semi")
+    return often.union(seldom).select("ref_table", "ref_id", "target_id", "period")
 
 
 def orphan_counts(references: DataFrame, parents: DataFrame, config: OrphanConfig = OrphanConfig()) -> DataFrame:

@@ -33,8 +33,8 @@ def test_against_brute_force_with_a_hot_key_and_many_ranges(spark):
     r, p = spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, "key string")
     known = {k for (k,) in parents}
     want = {(a, b, t, per) for a, b, per, t in refs if t not in known}
-    for buckets in (1, 7):
-        assert {tuple(x) for x in orphan_references(r, p, OrphanConfig(buckets)).collect()} == want
+    for config in (OrphanConfig(least_buckets=1), OrphanConfig(keys_per_bucket=3, least_buckets=1), OrphanConfig(hot_targets=1), OrphanConfig(hot_targets=4)):
+        assert {tuple(x) for x in orphan_references(r, p, config).collect()} == want
     keys = {tuple(x) for x in orphan_keys(r, p).collect()}
     assert keys == {(a, per, t) for a, b, t, per in want}
     counts = {(c.ref_table, c.period): (c.n_refs, c.n_targets) for c in orphan_counts(r, p).collect()}
