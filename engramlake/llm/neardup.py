@@ -252,7 +252,7 @@ def similar_classes(rows: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     wide = first("wide", "n_words")
     guessed = checkpointed(
         near.join(wide.toDF("a", "wa", "na").hint("merge"), "a").join(wide.toDF("b", "wb", "nb").hint("merge"), "b")
-        .where(likely("wa", "wb", "na", "nb")).select("a", "b").distinct()
+        .where(likely("wa", "wb", "na", "nb")).select("a", "b")
     )
     # only the words of texts in likely pairs are moved
     wanted = guessed.select(F.col("a").alias("c")).union(guessed.select("b")).distinct()
@@ -312,10 +312,10 @@ def near_duplicates(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of near-duplicate or equal texts."""
-    both = pairs.union(pairs.select("class_b", "class_a")).union(members.select("text_class", "text_class").distinct())
-    both = both.toDF("class_a", "class_b")
     a, b = members.toDF("id_a", "class_a"), members.toDF("id_b", "class_b")
-    return both.join(a, "class_a").join(b, "class_b").where("id_a < id_b").select("id_a", "id_b").distinct()
+    near = pairs.join(a, "class_a").join(b, "class_b").where("id_a <> id_b")
+    equal = a.join(b, F.col("class_a") == F.col("class_b")).where("id_a < id_b")
+    return near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).union(equal.select("id_a", "id_b")).distinct()
 
 
 def duplicate_report(members: DataFrame, pairs: DataFrame) -> DataFrame:
