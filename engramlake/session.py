@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,19 +28,33 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, the one that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is
-    unset, as in tests, a temporary folder of this machine serves.
+    Only a local master may go without that setting, as in tests; a temporary folder of this machine serves then.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engramlake-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="engramlake-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table of its own in the shared folder, so that later filters and columns reach the scan."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each Spark context, so that a cluster needs no installation."""
     sc = spark.sparkContext

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions.ids import canonical_id
+from engramlake.session import written
 from engramlake.sources.tables import table
 
 CONTENT = """Text string, Fact struct<subject string, predicate string, object string>, Preference struct<key string, value string, confidence double>,
@@ -58,8 +59,24 @@ def flatten(raw: DataFrame) -> DataFrame:
     )
 
 
+_stores: dict[tuple, DataFrame] = {}
+
+
+def compacted(raw: DataFrame) -> DataFrame:
+    """The flat store of `raw`, written once to the shared folder with the rows of a file in order of tier and creation.
+
+    Rows delivered twice are settled and JSON is parsed here and not by every query; what is asked of the store reaches its
+    scan, as do the columns. The same files are not read again within an application; rewritten files have other names.
+    """
+    spark = raw.sparkSession
+    key = (spark.sparkContext.applicationId, *sorted(raw.inputFiles()))
+    if key not in _stores:
+        _stores[key] = written(flatten(raw).sortWithinPartitions("tier", "created_at"))
+    return _stores[key]
+
+
 def memories(spark: SparkSession, d: str) -> DataFrame:
-    return flatten(table(spark, d, "memories"))
+    return compacted(table(spark, d, "memories"))
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
