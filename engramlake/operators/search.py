@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramlake.operators import scans
+from engramlake.operators import scans, vectors
 from engramlake.operators.lifecycle import frecency, hours
 from engramlake.operators.rendering import rendered
 
@@ -27,9 +27,17 @@ INTENTS = {
 #: Words that tell what a query asks for, in order of precedence; fixed values.
 QUERY_TYPES = {
     "preference": "what do i like|my preference|do i prefer|my favorite|my favourite|我喜欢什么|我的偏好|我偏好|我喜欢的",
-    "person": "who is|who was|who are|about him|about her|about them|^who |谁是|谁",
+    "person": "who is|who was|who are|about him|about her|about them|^who |谁",
     "fact": "what is|what are|where does|where is|what does|是什么|哪里|在哪|做什么",
 }
+#: What ends a name after 关于, and words that are no name there; fixed values.
+NAME_ENDS = r"[\s的了吗呢吧？！，。]"
+NO_NAMES = "这个|那个|什么|哪个|一些|所有|我们|他们|项目|问题|情况|事情"
+#: Capitalised words that begin a question and lower-case words of four letters that name nothing, fixed values.
+NO_ENTITIES = "I The A An What Where When Who How Tell Do Does Is Are Was Were Can Could Will Would Should My Your His Her Their".split()
+NO_TOPICS = "what where when about know tell does have".split()
+#: A run of words that begin with a capital.
+CAPITALS = r"(?:^|\s)([^\p{L}\p{N}\s]*\p{Lu}\S*(?:\s+[^\p{L}\p{N}\s]*\p{Lu}\S*)*)"
 
 
 @dataclass(frozen=True)
@@ -64,10 +72,19 @@ class Query:
     namespace: str | None = None
     channel: str | None = None
     identity_id: str | None = None
-    intent: str = "none"
-    kind: str = "general"
+    embedding: tuple | None = None
+    #: Read from the text unless given.
+    intent: str | None = None
+    kind: str | None = None
     weights: Weights = field(default_factory=Weights)
 
+    def resolved(self, spark: SparkSession) -> Query:
+        """The query with its intent and type read from the text."""
+        if self.intent and self.kind:
+            return self
+        r = spark.range(1).select(intent(F.lit(self.text)).alias("intent"), query_type(F.lit(self.text)).alias("kind")).first()
+        return replace(self, intent=self.intent or r.intent, kind=self.kind or r.kind)
+
     @property
     def terms(self) -> list[str]:
         import re
@@ -92,9 +109,42 @@ def intent(text: Column) -> Column:
     return _among(text, INTENTS, "none")
 
 
+def _after_about(text: Column) -> Column:
+    """What follows the first 关于, up to a blank or a particle."""
+    return F.regexp_extract(text, f"关于([^{NAME_ENDS[1:]}*)", 1)
+
+
 def query_type(text: Column) -> Column:
-    """temporal, preference, person, fact or general."""
-    return F.when(intent(text) != "none", "temporal").otherwise(_among(text, QUERY_TYPES, "general"))
+    """temporal, preference, person, fact or general. "about" before a capital and 关于 before a short name ask for a person."""
+    name = _after_about(text)
+    person = text.rlike(r"(?i:about )\p{Lu}") | (F.length(name).between(2, 4) & ~name.rlike(NO_NAMES))
+    kinds = _among(text, QUERY_TYPES, "general")
+    return F.when(intent(text) != "none", "temporal").when(kinds.isin("preference", "person"), kinds).when(person, "person").otherwise(kinds)
+
+
+def query_entities(text: Column) -> Column:
+    """What a query may be about: runs of capitalised words, what follows 关于 or "about ", and its words of four bytes and more."""
+    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    runs = F.transform(F.regexp_extract_all(text, F.lit(CAPITALS), 1), lambda r: F.array_join(F.transform(F.split(r, r"\s+"), bare), " "))
+    runs = F.filter(runs, lambda r: ~r.isin(NO_ENTITIES))
+    marked = F.filter(F.array(_after_about(text), F.regexp_extract(text, f"about ([^{NAME_ENDS[1:]}*)", 1)), lambda n: F.length(n).between(2, 6))
+    named = F.concat(runs, marked)
+    words = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+    words = F.filter(words, lambda w: (F.octet_length(w) >= 4) & ~w.isin(NO_TOPICS) & ~F.exists(named, lambda n: F.lower(n) == w))
+    return F.array_distinct(F.concat(named, words))
+
+
+def weights_of(questions: DataFrame) -> DataFrame:
+    """(id, intent, query_type and the weights) of questions (id, text): the adapted weights of all intents and types are one small table."""
+    kinds = ["temporal", "preference", "person", "fact", "general"]
+    rows = []
+    for i in [*INTENTS, "none"]:
+        for k in kinds:
+            w = Weights().adapted(i, k)
+            rows.append((i, k, *(round(x, 6) for x in (w.similarity, w.temporal, w.salience, w.social, w.fts, w.frecency))))
+    table = questions.sparkSession.createDataFrame(rows, "intent string, query_type string, similarity double, temporal double, salience double, social double, fts double, frecency double")
+    asked = questions.select("id", intent(F.col("text")).alias("intent"), query_type(F.col("text")).alias("query_type"))
+    return asked.join(F.broadcast(table), ["intent", "query_type"])  # 20 rows
 
 
 def _occurrences(words: Column, term: str) -> Column:
@@ -154,14 +204,18 @@ def overlap_rank(documents: DataFrame, text: str, limit: int) -> DataFrame:
     return documents.where("text is not null").select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def expansion_terms(memories: DataFrame, entities: tuple, most: int = 64) -> DataFrame:
-    """(term): what facts say about the entities, at most `most` terms: the other side and the predicate."""
+def expansion_terms(memories: DataFrame, asked: Query, most: int = 64) -> DataFrame:
+    """(term): what the store says about a query's entities, the `most` most frequent terms: of facts the other side and the
+    predicate, and key and value of preferences whose key holds the whole query. The entities are read from the text unless given."""
+    entities = F.array(*map(F.lit, asked.entities)) if asked.entities else query_entities(F.lit(asked.text))
+    named = memories.sparkSession.range(1).select(F.explode(entities).alias("e")).select(F.lower("e").alias("e")).distinct()
     s, o = F.lower("subject"), F.lower("object")
-    any_of = lambda c: reduce(lambda x, y: x | y, [c.contains(e.lower()) for e in entities])
-    hits = memories.where("kind = 'Fact'").where(any_of(s) | any_of(o)).select(
-        F.explode(F.array(F.when(any_of(s), o).otherwise(s), F.lower("predicate"))).alias("term")
-    )
-    return hits.where("length(term) > 1 and term <> 'user'").groupBy("term").count().orderBy(F.desc("count"), "term").limit(most).select("term")
+    said = memories.where("kind = 'Fact'").select(s.alias("s"), F.lower("predicate").alias("p"), o.alias("o")).join(
+        F.broadcast(named), F.contains("s", "e") | F.contains("o", "e")  # no more rows than the query has words
+    ).select(F.explode(F.array(F.when(F.contains("s", "e"), F.col("o")).otherwise(F.col("s")), "p")).alias("term"))
+    liked = memories.where("kind = 'Preference'").where(F.contains(F.lower("key"), F.lit(asked.text.lower()))).select(F.explode(F.array(F.lower("key"), F.lower("value"))).alias("term"))
+    hits = said.union(liked).where("length(term) > 1 and term <> 'user'")
+    return hits.groupBy("term").count().orderBy(F.desc("count"), "term").limit(most).select("term")
 
 
 def expanded(memories: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
@@ -171,15 +225,27 @@ def expanded(memories: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
 
 
 def multi_hop(memories: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
-    """Newest facts that share a subject or an object, either way, with the facts among a few seed ids; "user" counts for nothing."""
+    """Newest facts that share a subject or an object, either way, with the facts among the seeds; "user" counts for nothing.
+
+    seeds (id) are the first few candidates of a query and are broadcast, as are the two ends of each.
+    """
     f = memories.where("kind = 'Fact'").select("id", F.lower("subject").alias("s"), F.lower("object").alias("o"), "created_at")
-    ends = f.join(F.broadcast(seeds.select("id").limit(64)), "id", "left_semi").select(F.explode(F.array("s", "o")).alias("e")).where("e <> 'user'").distinct()
-    near = f.join(F.broadcast(ends.limit(128)), (F.col("s") == F.col("e")) | (F.col("o") == F.col("e")), "left_semi")
-    return scans.newest(near.join(F.broadcast(seeds.select("id").limit(64)), "id", "left_anti"), limit)
+    ends = f.join(F.broadcast(seeds.select("id")), "id", "left_semi").select(F.explode(F.array("s", "o")).alias("e")).where("e <> 'user'").distinct()
+    near = f.join(F.broadcast(ends), (F.col("s") == F.col("e")) | (F.col("o") == F.col("e")), "left_semi")
+    return scans.newest(near.join(F.broadcast(seeds.select("id")), "id", "left_anti"), limit)
+
+
+def temporal_candidates(memories: DataFrame, asked: str, limit: int) -> DataFrame:
+    """Episodic memories by ingestion for a temporal intent: the newest, twice as many for a sequence, and the oldest for "first"."""
+    rows = memories.where("tier = 'episodic'")
+    if asked == "first":
+        return rows.orderBy(F.asc_nulls_last("ingestion_time"), "id").limit(limit)
+    return scans.newest(rows, limit * 2 if asked == "sequence" else limit, "ingestion_time")
 
 
 def signals(memories: DataFrame, query: Query, now: Column) -> DataFrame:
     """`memories` (with similarity and fts) and the seven signals of a query."""
+    query = query.resolved(memories.sparkSession)
     h = hours(now, F.col("ingestion_time"))
     temporal = {"recent": F.exp(-h / 48.0), "first": F.least(h / 8760.0, F.lit(1.0)), "sequence": F.when(F.col("event_time").isNotNull(), 0.7).otherwise(0.4)}.get(query.intent, F.exp(-h / 168.0))
     person = F.lit(query.identity_id)
@@ -192,6 +258,7 @@ def signals(memories: DataFrame, query: Query, now: Column) -> DataFrame:
 
 def ranked(candidates: DataFrame, query: Query, now: Column) -> DataFrame:
     """(id, score): the best by the weighted sum of signals; archived rows and those of other namespaces never count."""
+    query = query.resolved(candidates.sparkSession)
     rows = candidates.where("tier <> 'archived'")
     if query.namespace:
         rows = rows.where(F.col("namespace") == query.namespace)
@@ -204,25 +271,33 @@ def ranked(candidates: DataFrame, query: Query, now: Column) -> DataFrame:
     return signals(rows, query, now).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(query.limit)
 
 
-def retrieve(memories: DataFrame, query: Query, now: Column) -> DataFrame:
+def retrieve(memories: DataFrame, query: Query, now: Column, embedded: DataFrame | None = None) -> DataFrame:
     """(id, score) of the memories that answer a query best.
 
-    Candidates come from phases, and the first phase that names a memory sets its similarity: the newest (0.5), those the
-    facts about the query's entities lead to (0.30), the newest again if the query asks about time (0.3), facts one hop from
-    the first candidates (0.25) and keyword matches (0.2). Every phase ends in a top-k, so few rows are ever joined.
+    Candidates come from phases, and the first phase that names a memory sets its similarity: the nearest by vector with
+    their cosine, if the query has an embedding; only where that gives none, the newest (0.5); those the facts and preferences
+    about the query's entities lead to (0.30), memories by time if the query asks about time (0.3), facts one hop from
+    the five best candidates so far (0.25) and keyword matches (0.2). Every phase ends in a top-k, so few rows are ever joined.
+
+    embedded: (id, embedding) of memories; those of another dimension than the query's count for nothing.
     """
-    k = query.limit
-    phases = [(2, 0.5, scans.newest(memories.where("tier = 'episodic'"), 3 * k)), (2, 0.5, scans.newest(memories.where("tier = 'semantic'"), 3 * k))]
-    if query.entities:
-        phases.append((3, 0.30, expanded(memories, expansion_terms(memories, query.entities), k)))
+    spark, k = memories.sparkSession, query.limit
+    query = query.resolved(spark)
+    phases = []
+    newest = scans.newest(memories.where("tier = 'episodic'"), 3 * k).select("id").union(scans.newest(memories.where("tier = 'semantic'"), 3 * k).select("id"))
+    if query.embedding is not None and embedded is not None:
+        near = vectors.top_k_of(embedded, query.embedding, 5 * k)
+        phases.append((1, F.col("score"), near))
+        newest = newest.join(F.broadcast(near.agg((F.count("*") == 0).alias("none")))).where("none")  # one row
+    phases.append((2, F.lit(0.5), newest))
+    phases.append((3, F.lit(0.30), expanded(memories, expansion_terms(memories, query), k)))
     if query.intent != "none":
-        phases.append((4, 0.3, scans.by_tier(memories, "episodic", 3 * k, "ingestion_time")))
-    seeds = scans.newest(memories.where("tier = 'semantic'"), 5)
-    phases.append((5, 0.25, multi_hop(memories, seeds, k)))
+        phases.append((4, F.lit(0.3), temporal_candidates(memories, query.intent, 3 * k)))
+    first = lambda ps: reduce(DataFrame.union, [df.select("id", F.lit(p).alias("phase"), s.alias("sim")) for p, s, df in ps]).groupBy("id").agg(F.min_by("sim", "phase").alias("similarity"))
+    seeds = first(phases).orderBy(F.desc("similarity"), "id").limit(5)
+    phases.append((5, F.lit(0.25), multi_hop(memories, seeds, k)))
     matches = bm25(memories.where("privacy <> 'private'").select("id", rendered().alias("text")), query.terms)
     best = matches.orderBy(F.desc("score"), "id").limit(3 * k)
-    phases.append((6, 0.2, best))
-    named = reduce(DataFrame.union, [df.select("id", F.lit(p).alias("phase"), F.lit(s).alias("sim")) for p, s, df in phases])
-    first = named.groupBy("id").agg(F.min_by("sim", "phase").alias("similarity")).limit(10_000)
-    rows = memories.join(F.broadcast(first), "id").join(F.broadcast(best.select("id", F.col("norm").alias("fts"))), "id", "left").withColumn("fts", F.coalesce("fts", F.lit(0.0)))
-    return ranked(rows, query, now)
+    phases.append((6, F.lit(0.2), best))
+    rows = memories.join(F.broadcast(first(phases)), "id").join(F.broadcast(best.select("id", F.col("norm").alias("fts"))), "id", "left")  # less than 20 rows for each one asked for
+    return ranked(rows.withColumn("fts", F.coalesce("fts", F.lit(0.0))), query, now)

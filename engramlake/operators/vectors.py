@@ -45,6 +45,27 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def top_k_of(embedded: DataFrame, query: tuple, k: int) -> DataFrame:
+    """(id, score): the k rows (id, embedding) nearest to a vector; those of another dimension do not count, ties go by id."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    scored = of_dimension(embedded, len(query)).select("id", cosine(F.col("embedding"), q).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(k)
+
+
+def restricted_top_k(embedded: DataFrame, memories: DataFrame, query: tuple, k: int) -> DataFrame:
+    """(id, score): the k nearest among the given memories (id), say those of a tier or of a range of time. The restriction comes
+    before the search, so that k rows come out wherever there are as many."""
+    return top_k_of(embedded.join(memories.select("id").distinct(), "id", "left_semi"), query, k)
+
+
+def reinforced(memories: DataFrame, matches: DataFrame, now: Column) -> DataFrame:
+    """(id, access_count, last_accessed, hits) of the memories that near-duplicates were dropped for: each match (query_id, vec_id,
+    score) whose query's nearest memory it is counts as an access."""
+    nearest_of = matches.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("id"))).alias("b"))
+    hits = nearest_of.groupBy(F.col("b.id").alias("id")).agg(F.count("*").alias("hits"))
+    return memories.join(hits, "id").select("id", (F.coalesce("access_count", F.lit(0)) + F.col("hits")).alias("access_count"), now.alias("last_accessed"), "hits")
+
+
 def of_dimension(vectors: DataFrame, dim: int) -> DataFrame:
     """Vectors of the index's dimension; nulls and others are rejected."""
     return vectors.where(F.size("embedding") == dim)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from engramlake.operators import extraction, ingest, search
+from engramlake.operators import extraction, ingest, search, vectors
 from engramlake.operators.lifecycle import frecency, hours
 from engramlake.sources import memory_sql as sq
 from engramlake.sources import memory_store as ms
@@ -89,9 +89,39 @@ def r9(spark, d):
     return ms.memories(spark, d).where("kind = 'Text'").groupBy(search.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
 
 
-@query("r10_query_type", sq.with_m(f"SELECT id, CASE WHEN {_INTENT} <> 'none' THEN 'temporal' ELSE {_case(search.QUERY_TYPES, 'text', 'general')} END AS query_type FROM m WHERE kind = 'Text'"))
+_ABOUT = "regexp_extract(text, '关于([^\\s的了吗呢吧？！，。]*)', 1)"
+_TYPE = f"""CASE WHEN {_INTENT} <> 'none' THEN 'temporal' WHEN regexp_matches(lower(text), 'what do i like|my preference|do i prefer|my favou?rite|我喜欢什么|我的偏好|我偏好|我喜欢的') THEN 'preference'
+ WHEN regexp_matches(lower(text), 'who (is|was|are)|about (him|her|them)|^who |谁') OR regexp_matches(text, '[aA][bB][oO][uU][tT] \\p{{Lu}}') THEN 'person'
+ WHEN length({_ABOUT}) BETWEEN 2 AND 4 AND NOT regexp_matches({_ABOUT}, '这个|那个|什么|哪个|一些|所有|我们|他们|项目|问题|情况|事情') THEN 'person'
+ WHEN regexp_matches(lower(text), 'what (is|are|does)|where (is|does)|是什么|哪里|在哪|做什么') THEN 'fact' ELSE 'general' END""".replace("\\\\", "\\")
+
+
+@query("r10_query_type", f"SELECT id, {_TYPE} AS query_type FROM ({_DOCS}) WHERE text IS NOT NULL")
 def r10(spark, d):
-    return ms.memories(spark, d).where("kind = 'Text'").select("id", search.query_type(F.col("text")).alias("query_type"))
+    return _documents(spark, d).where("text is not null").select("id", search.query_type(F.col("text")).alias("query_type"))
+
+
+_WORDS = "list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'))"
+_RUNS = "list_transform(regexp_extract_all(text, '(?:^|\\s)([^\\p{L}\\p{N}\\s]*\\p{Lu}\\S*(?:\\s+[^\\p{L}\\p{N}\\s]*\\p{Lu}\\S*)*)', 1), lambda r: array_to_string(list_transform(regexp_split_to_array(r, '\\s+'), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), ' '))"
+_ENTITIES = f"""e1 AS (SELECT id, text, list_concat(list_filter({_RUNS}, lambda r: r NOT IN ('I', 'The', 'A', 'An', 'What', 'Where', 'When', 'Who', 'How', 'Tell', 'Do', 'Does', 'Is', 'Are', 'Was', 'Were', 'Can', 'Could', 'Will', 'Would', 'Should', 'My', 'Your', 'His', 'Her', 'Their')),
+ list_filter([{_ABOUT}, regexp_extract(text, 'about ([^\\s的了吗呢吧？！，。]*)', 1)], lambda n: length(n) BETWEEN 2 AND 6)) AS named FROM lines),
+e2 AS (SELECT id, text, list_concat(named, list_filter({_WORDS}, lambda w: octet_length(encode(w)) >= 4 AND w NOT IN ('what', 'where', 'when', 'about', 'know', 'tell', 'does', 'have') AND NOT list_contains(list_transform(named, lambda n: lower(n)), w))) AS entities FROM e1)"""
+
+
+@query("r11_entities", f"WITH lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL), {_ENTITIES} SELECT entity, count(*) AS n FROM (SELECT unnest(list_distinct(entities)) AS entity FROM e2) GROUP BY 1")
+def r11(spark, d):
+    """How many lines of the documents name each entity."""
+    found = _lines(spark, d).select(F.explode(search.query_entities(F.col("text"))).alias("entity"))
+    return found.groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@query("r12_weights", f"""SELECT intent, query_type, count(*) AS n, round(0.30::DOUBLE * CASE WHEN intent <> 'none' THEN 0.6 ELSE 1 END * CASE query_type WHEN 'fact' THEN 1.3 ELSE 1 END, 6) AS similarity,
+ round(0.18::DOUBLE * CASE WHEN intent <> 'none' THEN 2.5 ELSE 1 END * CASE query_type WHEN 'person' THEN 0.5 WHEN 'fact' THEN 0.7 ELSE 1 END, 6) AS temporal, round(0.22::DOUBLE * CASE WHEN intent <> 'none' THEN 0.8 ELSE 1 END * CASE query_type WHEN 'preference' THEN 1.5 ELSE 1 END, 6) AS salience,
+ round(0.08::DOUBLE * CASE query_type WHEN 'person' THEN 3 WHEN 'preference' THEN 0.5 ELSE 1 END, 6) AS social, round(0.15::DOUBLE * CASE query_type WHEN 'fact' THEN 1.2 ELSE 1 END, 6) AS fts, CASE intent WHEN 'first' THEN 0.0 ELSE 0.1 END::DOUBLE AS frecency
+ FROM (SELECT {_INTENT} AS intent, {_TYPE} AS query_type FROM ({_DOCS}) WHERE text IS NOT NULL) GROUP BY 1, 2""")
+def r12(spark, d):
+    """The weights that each document, taken for a question, would be ranked with."""
+    return search.weights_of(_documents(spark, d).where("text is not null")).groupBy("intent", "query_type", "similarity", "temporal", "salience", "social", "fts", "frecency").agg(F.count("*").alias("n"))
 
 
 _H = "greatest(0, floor((epoch_us({0}) - epoch_us({1})) / 3600000000))"
@@ -115,14 +145,18 @@ def r14(spark, d):
     return search.ranked(rows, q, now()).select("id", F.round("score", 6).alias("score"))
 
 
-_TERMS = """terms AS (SELECT term FROM (SELECT unnest([CASE WHEN contains(lower(subject), 'garden') THEN lower(object) ELSE lower(subject) END, lower(predicate)]) AS term
- FROM m WHERE kind = 'Fact' AND (contains(lower(subject), 'garden') OR contains(lower(object), 'garden'))) WHERE length(term) > 1 AND term <> 'user' GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 64)"""
+def _terms_sql(entities: list[str], text: str) -> str:
+    names = ", ".join(f"({quoted(e)})" for e in entities)
+    return f"""terms AS (SELECT term FROM (SELECT unnest([CASE WHEN contains(lower(subject), e) THEN lower(object) ELSE lower(subject) END, lower(predicate)]) AS term
+ FROM m, (VALUES {names}) v(e) WHERE kind = 'Fact' AND (contains(lower(subject), e) OR contains(lower(object), e))
+ UNION ALL SELECT unnest([lower(key), lower(value)]) FROM m WHERE kind = 'Preference' AND contains(lower(key), {quoted(text)}))
+ WHERE length(term) > 1 AND term <> 'user' GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 64)"""
 
 
-@query("r4_expand", sq.with_m("SELECT id FROM m WHERE tier = 'episodic' AND text IS NOT NULL AND EXISTS (SELECT 1 FROM terms WHERE contains(lower(text), term)) ORDER BY created_at DESC NULLS LAST, id LIMIT 50", _TERMS))
+@query("r4_expand", sq.with_m("SELECT id FROM m WHERE tier = 'episodic' AND text IS NOT NULL AND EXISTS (SELECT 1 FROM terms WHERE contains(lower(text), term)) ORDER BY created_at DESC NULLS LAST, id LIMIT 50", _terms_sql(["garden"], "plan")))
 def r4(spark, d):
     m = ms.memories(spark, d)
-    return search.expanded(m, search.expansion_terms(m, ("garden",)), 50).select("id")
+    return search.expanded(m, search.expansion_terms(m, search.Query("plan", ("garden",))), 50).select("id")
 
 
 _HOP = """seeds AS (SELECT id FROM m WHERE tier = 'semantic' AND kind = 'Fact' ORDER BY created_at DESC NULLS LAST, id LIMIT 5),
@@ -139,25 +173,83 @@ def r6(spark, d):
 
 _LINE = """CASE kind WHEN 'Text' THEN text WHEN 'Fact' THEN concat_ws(' ', subject, predicate, object) WHEN 'Preference' THEN key || ' = ' || value
  WHEN 'Relationship' THEN concat_ws(' ', person_a, relation, person_b) WHEN 'Pattern' THEN trigger || ' -> ' || array_to_string(actions, ', ') WHEN 'Event' THEN concat_ws(' @ ', title, start) END"""
-_RETRIEVE = sq.with_m(
-    f"""SELECT id, round(score, 6) AS score FROM (SELECT m.id, {_score('similarity', 'coalesce(fts, 0.0)')} AS score
+_VECTORS = "v AS (SELECT m.id, embedding FROM m JOIN embeddings ON ('0x' || substr(id, 1, 8))::BIGINT % 500 = vec_id WHERE regexp_matches(id, '^[0-9a-f]{8}'))"
+_AGE = _H.format(_NOW, "ingestion_time")
+
+
+def _retrieve_sql(text: str, entities: list[str], intent: str = "none", vector: int | None = None) -> str:
+    words = sorted(set(text.split()))
+    temporal = {"none": f"0.18 * exp(-{_AGE} / 168.0)", "recent": f"0.45 * exp(-{_AGE} / 48.0)", "first": f"0.45 * least({_AGE} / 8760.0, 1.0)", "sequence": "0.45 * CASE WHEN event_time IS NOT NULL THEN 0.7 ELSE 0.4 END"}[intent]
+    s, e, f = (0.30, 0.22, 0.10) if intent == "none" else (0.18, 0.176, 0.0 if intent == "first" else 0.10)
+    score = f"{s} * similarity + {temporal} + {e} * effective + 0.15 * coalesce(fts, 0.0) + {f} * ({_FRECENCY})"
+    by_time = {"none": None, "recent": "DESC NULLS LAST, id LIMIT 30", "sequence": "DESC NULLS LAST, id LIMIT 60", "first": "ASC NULLS LAST, id LIMIT 30"}[intent]
+    newest = """SELECT id, 2 AS phase, 0.5::DOUBLE AS sim FROM (SELECT id FROM m WHERE tier = 'episodic' ORDER BY created_at DESC NULLS LAST, id LIMIT 30)
+ UNION ALL SELECT id, 2, 0.5 FROM (SELECT id FROM m WHERE tier = 'semantic' ORDER BY created_at DESC NULLS LAST, id LIMIT 30)"""
+    cosine = f"list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {vector}))"
+    start = newest if vector is None else f"SELECT id, 1 AS phase, sim FROM (SELECT id, {cosine} AS sim FROM v ORDER BY sim DESC, id LIMIT 50)"
+    timed = f" UNION ALL SELECT id, 4, 0.3 FROM (SELECT id FROM m WHERE tier = 'episodic' ORDER BY ingestion_time {by_time})" if by_time else ""
+    return sq.with_m(
+        f"""SELECT id, round(score, 6) AS score FROM (SELECT m.id, {score} AS score
  FROM m JOIN (SELECT id, arg_min(sim, phase) AS similarity FROM named GROUP BY 1) USING (id) LEFT JOIN (SELECT id, norm AS fts FROM best) USING (id) WHERE tier <> 'archived') ORDER BY score DESC, id LIMIT 10""",
-    _TERMS,
-    "seeds AS (SELECT id FROM m WHERE tier = 'semantic' ORDER BY created_at DESC NULLS LAST, id LIMIT 5)",
-    "hops AS (SELECT DISTINCT e FROM (SELECT unnest([lower(subject), lower(object)]) AS e FROM m WHERE kind = 'Fact' AND id IN (SELECT id FROM seeds)) WHERE e <> 'user')",
-    _bm25_sql(f"SELECT id, {_LINE} AS text FROM m WHERE privacy <> 'private'", ["garden", "pump"]),
-    "best AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 30)",
-    """named AS (SELECT id, 2 AS phase, 0.5 AS sim FROM (SELECT id FROM m WHERE tier = 'episodic' ORDER BY created_at DESC NULLS LAST, id LIMIT 30)
- UNION ALL SELECT id, 2, 0.5 FROM (SELECT id FROM m WHERE tier = 'semantic' ORDER BY created_at DESC NULLS LAST, id LIMIT 30)
- UNION ALL SELECT id, 3, 0.3 FROM (SELECT id FROM m WHERE tier = 'episodic' AND text IS NOT NULL AND EXISTS (SELECT 1 FROM terms WHERE contains(lower(text), term)) ORDER BY created_at DESC NULLS LAST, id LIMIT 10)
+        _VECTORS,
+        _terms_sql(entities, text),
+        f"""early AS ({start} UNION ALL SELECT id, 3, 0.3 FROM (SELECT id FROM m WHERE tier = 'episodic' AND text IS NOT NULL AND EXISTS (SELECT 1 FROM terms WHERE contains(lower(text), term)) ORDER BY created_at DESC NULLS LAST, id LIMIT 10){timed})""",
+        "seeds AS (SELECT id FROM (SELECT id, arg_min(sim, phase) AS sim FROM early GROUP BY 1) ORDER BY sim DESC, id LIMIT 5)",
+        "hops AS (SELECT DISTINCT e FROM (SELECT unnest([lower(subject), lower(object)]) AS e FROM m WHERE kind = 'Fact' AND id IN (SELECT id FROM seeds)) WHERE e <> 'user')",
+        _bm25_sql(f"SELECT id, {_LINE} AS text FROM m WHERE privacy <> 'private'", words),
+        "best AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 30)",
+        """named AS (SELECT * FROM early
  UNION ALL SELECT id, 5, 0.25 FROM (SELECT id FROM m WHERE kind = 'Fact' AND id NOT IN (SELECT id FROM seeds) AND (lower(subject) IN (SELECT e FROM hops) OR lower(object) IN (SELECT e FROM hops)) ORDER BY created_at DESC NULLS LAST, id LIMIT 10)
  UNION ALL SELECT id, 6, 0.2 FROM best)""",
-)
+    )
+
+
+def _memory_vectors(spark, d):
+    """(id, embedding): memories with the test vector that the first digits of their id point to."""
+    at = F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint"), F.lit(500))
+    return ms.memories(spark, d).where(F.col("id").rlike("^[0-9a-f]{8}")).select("id", at.alias("vec_id")).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+
+
+def _vector(spark, d, vec_id: int) -> tuple:
+    return tuple(table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first().embedding)
+
 
+def _retrieved(spark, d, asked, embedded=None):
+    return search.retrieve(ms.memories(spark, d), asked, now(), embedded).select("id", F.round("score", 6).alias("score"))
 
-@query("r1_retrieve", _RETRIEVE)
+
+@query("r1_retrieve", _retrieve_sql("garden pump", ["garden", "pump"]))
 def r1(spark, d):
-    return search.retrieve(ms.memories(spark, d), search.Query("garden pump", ("garden",)), now()).select("id", F.round("score", 6).alias("score"))
+    return _retrieved(spark, d, search.Query("garden pump"))
+
+
+@query("r2_vector_retrieve", _retrieve_sql("garden pump", ["garden", "pump"], vector=7))
+def r2(spark, d):
+    return _retrieved(spark, d, search.Query("garden pump", embedding=_vector(spark, d, 7)), _memory_vectors(spark, d))
+
+
+@query("r5_first", _retrieve_sql("originally garden", ["originally", "garden"], "first"))
+def r5a(spark, d):
+    return _retrieved(spark, d, search.Query("originally garden"))
+
+
+@query("r5_sequence", _retrieve_sql("garden timeline", ["garden", "timeline"], "sequence"))
+def r5b(spark, d):
+    return _retrieved(spark, d, search.Query("garden timeline"))
+
+
+@query("r5_recent", _retrieve_sql("garden yesterday", ["garden", "yesterday"], "recent"))
+def r5c(spark, d):
+    return _retrieved(spark, d, search.Query("garden yesterday"))
+
+
+_COSINE = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 11))"
+
+
+@query("v6_tier_time", sq.with_m(f"SELECT id, round({_COSINE}, 6) AS score FROM v WHERE id IN (SELECT id FROM m WHERE tier = 'episodic' AND ingestion_time BETWEEN TIMESTAMPTZ '2025-06-01 00:00:00+00' AND TIMESTAMPTZ '2025-12-01 00:00:00+00') ORDER BY {_COSINE} DESC, id LIMIT 25", _VECTORS))
+def v6(spark, d):
+    some = ms.memories(spark, d).where("tier = 'episodic'").where(F.col("ingestion_time").between(F.to_timestamp(F.lit("2025-06-01")), F.to_timestamp(F.lit("2025-12-01"))))
+    return vectors.restricted_top_k(_memory_vectors(spark, d), some, _vector(spark, d, 11), 25).select("id", F.round("score", 6).alias("score"))
 
 
 def _lines(spark, d):
