@@ -165,3 +165,59 @@ def promoted_pattern(found: DataFrame) -> DataFrame:
 def speculative(confidence: Column) -> Column:
     """Confidence of a fact that was only guessed from another: below the floor of what a context shows."""
     return F.least(confidence * 0.3, F.lit(0.29))
+
+
+def fact_rows(found: DataFrame, base: float = 0.6) -> DataFrame:
+    """Memories of facts (subject, predicate, object): semantic rows whose id and hash follow from the content, so that the same
+    fact is one row however often it was found. Facts with a null part give none."""
+    whole = found.where("subject is not null and predicate is not null and object is not null").select("subject", "predicate", "object").distinct()
+    digest = F.sha2(F.concat_ws(":", F.lit("fact"), "subject", "predicate", "object"), 256)
+    return whole.select(
+        F.substring(digest, 1, 32).alias("id"), F.lit("semantic").alias("tier"), F.lit("Fact").alias("kind"), "subject", "predicate", "object", F.lit(base).alias("base_score"), digest.alias("content_hash")
+    )
+
+
+def listed_facts(memories: DataFrame, pattern: str = "", most: int = 10_000) -> DataFrame:
+    """Facts and preferences whose subject, object or key holds the pattern; with an empty one the newest `most` of the semantic tier."""
+    rows = memories.where("kind in ('Fact', 'Preference')")
+    if not pattern:
+        return rows.where("tier = 'semantic'").orderBy(F.desc_nulls_last("created_at"), "id").limit(most)
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(pattern.lower())), F.lit(False))
+    return rows.where(holds("subject") | holds("object") | holds("key"))
+
+
+def merge_facts(memories: DataFrame, merges: DataFrame, factor: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(memories, links) after merges (keeper, merged): a Supersedes link for each, and the merged facts' base score times the
+    factor with their salience worked out again. A fact merged into several is weakened once."""
+    once = merges.where("keeper <> merged").groupBy(F.col("merged").alias("id")).agg(F.lit(True).alias("weaker"))
+    base = F.when(F.col("weaker"), F.col("base_score") * factor).otherwise(F.col("base_score"))
+    rows = memories.join(once, "id", "left").withColumn("base_score", base)
+    rows = rows.withColumn("effective", F.when(F.col("weaker"), F.col("base_score") * F.col("emotional") * F.col("access_boost") * F.col("decay_factor")).otherwise(F.col("effective"))).drop("weaker")
+    links = merges.where("keeper <> merged").select(F.col("keeper").alias("source_id"), F.col("merged").alias("target_id"), F.lit("Supersedes").alias("relation"), F.lit(1.0).alias("strength")).distinct()
+    return rows, links
+
+
+def update_confidence(memories: DataFrame, changes: DataFrame) -> DataFrame:
+    """Preferences with the confidence of changes (id, confidence), as it is; of several changes the greatest."""
+    new = changes.groupBy("id").agg(F.max("confidence").alias("_new"))
+    return memories.join(new, "id", "left").withColumn("confidence", F.when(F.col("kind") == "Preference", F.coalesce("_new", "confidence")).otherwise(F.col("confidence"))).drop("_new")
+
+
+def strongest_beliefs(folded: DataFrame, least: float, most: int) -> DataFrame:
+    """Beliefs of at least a probability, the most probable first."""
+    return folded.where(F.col("probability") >= least).orderBy(F.desc("probability"), "key").limit(most)
+
+
+def record_interactions(people: DataFrame, interactions: DataFrame) -> DataFrame:
+    """People with interactions (id, ts) counted in and the last one seen. Ids that are no person's count for nothing."""
+    new = interactions.groupBy("id").agg(F.count("*").alias("_n"), F.max("ts").alias("_ts"))
+    return people.join(new, "id", "left").withColumns({
+        "interaction_count": F.coalesce("interaction_count", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_seen": F.greatest("last_seen", "_ts"),
+    }).drop("_n", "_ts")
+
+
+def disclosure_budget(reads: DataFrame, budget: int) -> DataFrame:
+    """(day, client, n_reads, n_items, over): reads (ts, client, item) of a day, the different items among them, and whether
+    those exceed the budget."""
+    by = reads.groupBy(F.to_date("ts").alias("day"), "client").agg(F.count("*").alias("n_reads"), F.countDistinct("item").alias("n_items"))
+    return by.withColumn("over", F.col("n_items") > budget)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,13 +17,15 @@ from engramlake.functions.sampling import bounded_sample
 
 @dataclass(frozen=True)
 class VectorConfig:
-    #: Queries whose vectors are broadcast together; more are searched in blocks of this size.
+    #: Queries, and vectors, about, of a block; each block of queries meets each block of vectors in one product of matrices.
     query_block: int = 2048
+    vector_block: int = 8192
     #: Rows the centroids of the index are fitted on, at most.
     fit_rows: int = 20_000
-    lists: int = 32
-    #: Lists searched for a query. Vectors without any clusters need most lists; clustered ones a few.
-    probes: int = 24
+    #: The index has as many lists as the root of the number of rows, no fewer than this.
+    least_lists: int = 8
+    #: Share of the lists searched for a query. Vectors without any clusters need most lists; clustered ones a few.
+    probed: float = 0.75
     rounds: int = 10
     seed: int = 7
 
@@ -94,48 +97,47 @@ def _best(q_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, thresh
         at = np.flatnonzero(row >= threshold) if threshold is not None else np.arange(len(row))
         at = at[ids[at] != q]
         if len(at) > k:
-            near = at[np.argpartition(-row[at], k)[: k + 1]]
-            floor = np.sort(row[near])[-k]
+            floor = np.partition(row[at], -k)[-k]
             at = at[row[at] >= floor]
             at = at[np.lexsort((ids[at], -row[at]))][:k]
-        yield from ((int(q), int(ids[j]), float(row[j])) for j in at)
+        yield from ((q, ids[j], float(row[j])) for j in at)
+
+
+def _blocks(vectors: DataFrame, size: int, as_name: str) -> DataFrame:
+    """Vectors in blocks of about `size`, one row each."""
+    n = max(1, -(-vectors.count() // size))
+    rows = vectors.where("embedding is not null and size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), F.size("embedding").alias("dim")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(as_name)).drop("block")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, config: VectorConfig = VectorConfig()) -> DataFrame:
     """(query_id, vec_id, score): for each query the k nearest other vectors, exactly; with a threshold only those at or above it.
 
-    Queries go to the executors in blocks of a bounded size; every task keeps its own k best for each query and only those are
-    shuffled. Ties go by vec_id.
+    Both sides are packed into blocks of a bounded size, each pair of blocks of one dimension is one product of matrices, and only the k best
+    of a query within a block are shuffled. Ties go by vec_id. Null and empty vectors are nobody's neighbours.
     """
-    spark = vectors.sparkSession
-    ids = queries.select("vec_id").where("embedding is not null").orderBy("vec_id")
-    n = ids.count()
-    out = None
-    for block in range(0, n, config.query_block):
-        rows = queries.where("embedding is not null").orderBy("vec_id").offset(block).limit(config.query_block).select("vec_id", "embedding").collect()
-        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), _unit([r.embedding for r in rows])))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q_ids, q = sent.value
-            for b in batches:
-                good = b[b.embedding.map(lambda v: v is not None and len(v) == q.shape[1])]
-                scores = q @ _unit(list(good.embedding)).T if len(good) else np.zeros((len(q_ids), 0))
-                yield pd.DataFrame(_best(q_ids, scores, good.vec_id.to_numpy(), k, threshold), columns=["query_id", "vec_id", "score"])
-
-        found = vectors.select("vec_id", "embedding").mapInPandas(search, "query_id bigint, vec_id bigint, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    pairs = _blocks(vectors, config.vector_block, "v").join(_blocks(queries, config.query_block, "q"), "dim")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for v, q in zip(b.v, b.q):
+                ids, q_ids = np.array([r["vec_id"] for r in v]), np.array([r["vec_id"] for r in q])
+                scores = _unit([r["embedding"] for r in q]) @ _unit([r["embedding"] for r in v]).T
+                yield pd.DataFrame(_best(q_ids, scores, ids, k, threshold), columns=["query_id", "vec_id", "score"])
+
+    out = pairs.select("v", "q").mapInPandas(search, f"query_id {kind}, vec_id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
 def centroids(vectors: DataFrame, config: VectorConfig = VectorConfig()) -> np.ndarray:
     """Centres of the index's lists, by spherical k-means on at most fit_rows rows, those with the smallest hash."""
+    lists = max(config.least_lists, math.isqrt(vectors.count()))
     rows = bounded_sample(vectors.where("embedding is not null"), ["vec_id"], config.fit_rows).orderBy("vec_id").select("embedding").collect()
     x = _unit([r.embedding for r in rows])
     rng = np.random.default_rng(config.seed)
-    c = x[rng.choice(len(x), min(config.lists, len(x)), replace=False)]
+    c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(config.rounds):
         near = (x @ c.T).argmax(1)
         c = _unit([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
@@ -154,12 +156,12 @@ def indexed(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def approximate(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, config: VectorConfig = VectorConfig()) -> DataFrame:
-    """(query_id, vec_id, score): k nearest within the `probes` lists closest to each query: a join on the list."""
+    """(query_id, vec_id, score): k nearest within the share `probed` of the lists, those closest to each query: a join on the list."""
     sent = index.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def near_lists(v: pd.Series) -> pd.Series:
-        order = np.argsort(-(_unit(list(v)) @ sent.value.T), axis=1)[:, : config.probes]
+        order = np.argsort(-(_unit(list(v)) @ sent.value.T), axis=1)[:, : math.ceil(config.probed * len(sent.value))]
         return pd.Series(list(order.astype("int32")))
 
     q = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode(near_lists("embedding")).alias("list"))

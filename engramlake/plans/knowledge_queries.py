@@ -172,10 +172,26 @@ def v6(spark, d):
     return vectors.nearest(e, e.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("v7_near_dup", f"SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {_COS} >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 8")
+_NEAR = "SELECT a.vec_id AS query_id, b.id AS vec_id, {0} AS score FROM embeddings a, v b WHERE a.vec_id % 50 = 0 AND {0} >= 0.95".format(_COS)
+
+
+def _near_duplicates(spark, d, k):
+    """Incoming vectors, one in fifty, against those of the stored memories."""
+    from engramlake.plans.search_queries import _memory_vectors
+
+    stored = _memory_vectors(spark, d).select(F.col("id").alias("vec_id"), "embedding")
+    incoming = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("vec_id"), "embedding")
+    return vectors.nearest(stored, incoming, k, 0.95)
+
+
+@query("v7_near_dup", sq.with_m(f"SELECT query_id, vec_id FROM ({_NEAR} QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.id) <= 8)", sq.VECTORS))
 def v7(spark, d):
-    e = table(spark, d, "embeddings")
-    return vectors.nearest(e, e.where("vec_id % 50 = 0"), 8, 0.3).select("query_id", "vec_id")
+    return _near_duplicates(spark, d, 8).select(F.col("query_id").cast("bigint").alias("query_id"), "vec_id")
+
+
+@query("i4_reinforce", sq.with_m(f"SELECT m.id, access_count + hits AS access_count, hits FROM m JOIN (SELECT vec_id, count(*) AS hits FROM (SELECT query_id, min(vec_id) AS vec_id FROM ({_NEAR}) GROUP BY 1) GROUP BY 1) h ON m.id = h.vec_id", sq.VECTORS))
+def i4(spark, d):
+    return vectors.reinforced(ms.memories(spark, d), _near_duplicates(spark, d, 8), F.to_timestamp(F.lit("2026-07-01"))).select("id", "access_count", "hits")
 
 
 @query("v3_ann", None)
@@ -197,3 +213,57 @@ def s27(spark, d):
     back = vectors.dequantised(vectors.quantised(F.col("embedding")))
     worst = F.array_max(F.zip_with("embedding", back, lambda a, b: F.abs(a.cast("double") - b)))
     return table(spark, d, "embeddings").select("vec_id", F.round(worst, 6).alias("worst"))
+
+
+@query("k1_fact_rows", "SELECT substr(h, 1, 32) AS id, subject, predicate, object, h AS content_hash FROM (SELECT DISTINCT display_name AS subject, 'is_on' AS predicate, channel AS object, sha256(concat_ws(':', 'fact', display_name, 'is_on', channel)) AS h FROM channel_identities WHERE display_name IS NOT NULL AND channel IS NOT NULL)")
+def k1(spark, d):
+    found = table(spark, d, "channel_identities").select(F.col("display_name").alias("subject"), F.lit("is_on").alias("predicate"), F.col("channel").alias("object"))
+    return knowledge.fact_rows(found).select("id", "subject", "predicate", "object", "content_hash")
+
+
+@query("f8_all_facts", sq.with_m("SELECT id, kind FROM m WHERE kind IN ('Fact', 'Preference') AND tier = 'semantic' ORDER BY created_at DESC NULLS LAST, id LIMIT 300"))
+def f8(spark, d):
+    return knowledge.listed_facts(ms.memories(spark, d), most=300).select("id", "kind")
+
+
+_MERGES = f"""{_F}, g AS (SELECT *, first_value(id) OVER (PARTITION BY s, p ORDER BY created_at DESC NULLS LAST, id DESC) AS keeper, first_value(o) OVER (PARTITION BY s, p ORDER BY created_at DESC NULLS LAST, id DESC) AS last_o FROM f)"""
+
+
+@query("k4_merge_facts", sq.with_m("SELECT id, round(base_score * 0.3, 9) AS base_score, round(base_score * 0.3 * emotional * access_boost * decay_factor, 9) AS effective FROM m WHERE id IN (SELECT id FROM g WHERE o <> last_o)", _MERGES))
+def k4(spark, d):
+    m = ms.memories(spark, d)
+    f = knowledge.facts(m)
+    last = f.groupBy("s", "p").agg(F.max_by(F.struct("id", "o"), F.struct("created_at", "id")).alias("k"))
+    merges = f.join(last, ["s", "p"]).where("o <> k.o").select(F.col("k.id").alias("keeper"), F.col("id").alias("merged"))
+    rows, links = knowledge.merge_facts(m, merges)
+    return rows.join(links.select(F.col("target_id").alias("id")), "id", "left_semi").select("id", F.round("base_score", 9).alias("base_score"), F.round("effective", 9).alias("effective"))
+
+
+@query("k5_confidence", sq.with_m("SELECT id, round(confidence + 0.25, 9) AS confidence FROM m WHERE kind = 'Preference'"))
+def k5(spark, d):
+    m = ms.memories(spark, d)
+    changes = m.where("kind = 'Preference'").select("id", (F.col("confidence") + 0.25).alias("confidence"))
+    return knowledge.update_confidence(m, changes).where("kind = 'Preference'").select("id", F.round("confidence", 9).alias("confidence"))
+
+
+@query("k9_strongest", f"WITH {_BELIEFS} SELECT key, round(probability, 6) AS probability FROM b WHERE probability >= 0.6 ORDER BY b.probability DESC, key LIMIT 40")
+def k9(spark, d):
+    return knowledge.strongest_beliefs(knowledge.beliefs(_observations(spark, d)), 0.6, 40).select("key", F.round("probability", 6).alias("probability"))
+
+
+@query("k12_interactions", sq.with_m("SELECT p.id, coalesce(interaction_count, 0) + coalesce(n, 0) AS interaction_count, epoch_us(greatest(last_seen, ts)) // 1000 AS last_ms FROM p LEFT JOIN (SELECT identity_id, count(*) AS n, max(ingestion_time) AS ts FROM m WHERE identity_id IS NOT NULL GROUP BY 1) x ON p.id = identity_id", sq.PEOPLE))
+def k12(spark, d):
+    met = ms.memories(spark, d).where("identity_id is not null").select(F.col("identity_id").alias("id"), F.col("ingestion_time").alias("ts"))
+    return knowledge.record_interactions(ms.people(spark, d), met).select("id", "interaction_count", F.unix_millis("last_seen").alias("last_ms"))
+
+
+@query("a7_disclosures", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS client, count(*) AS n_reads, count(DISTINCT props) AS n_items, count(DISTINCT props) > 3 AS over FROM events GROUP BY 1, 2")
+def a7(spark, d):
+    reads = table(spark, d, "events").select("ts", F.col("user_id").alias("client"), F.col("props").alias("item"))
+    return knowledge.disclosure_budget(reads, 3).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "client", "n_reads", "n_items", "over")
+
+
+@query("y7_beliefs", f"""WITH {_OPS} SELECT payload->>'$.belief.key' AS key, arg_min((payload->>'$.belief.probability')::DOUBLE, (wall_ms, counter, hlc_device, op_id)) AS probability, 0::BIGINT AS n
+ FROM o WHERE type = 'BeliefUpsert' GROUP BY 1 HAVING sum(json_array_length(payload->'$.belief.observations')) = 0""")
+def y7(spark, d):
+    return replication.merged_beliefs(replication.operations(table(spark, d, "sync_oplog"))).select("key", "probability", "n")

@@ -173,7 +173,7 @@ def r6(spark, d):
 
 _LINE = """CASE kind WHEN 'Text' THEN text WHEN 'Fact' THEN concat_ws(' ', subject, predicate, object) WHEN 'Preference' THEN key || ' = ' || value
  WHEN 'Relationship' THEN concat_ws(' ', person_a, relation, person_b) WHEN 'Pattern' THEN trigger || ' -> ' || array_to_string(actions, ', ') WHEN 'Event' THEN concat_ws(' @ ', title, start) END"""
-_VECTORS = "v AS (SELECT m.id, embedding FROM m JOIN embeddings ON ('0x' || substr(id, 1, 8))::BIGINT % 500 = vec_id WHERE regexp_matches(id, '^[0-9a-f]{8}'))"
+_VECTORS = sq.VECTORS
 _AGE = _H.format(_NOW, "ingestion_time")
 
 

@@ -33,3 +33,7 @@ ci AS (SELECT channel, channel_user_id, min({canon_sql('person_id')}) AS person_
 
 def with_m(sql: str, *more: str) -> str:
     return "WITH " + ", ".join((M, *more)) + " " + sql
+
+
+#: Memories with the test vector that the first digits of their id point to.
+VECTORS = "v AS (SELECT m.id, embedding FROM m JOIN embeddings ON ('0x' || substr(id, 1, 8))::BIGINT % 500 = vec_id WHERE regexp_matches(id, '^[0-9a-f]{8}'))"
