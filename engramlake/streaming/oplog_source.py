@@ -1,13 +1,14 @@
 """A streaming source over oplog files that still grow.
 
-Each device appends JSON lines to its files. The source remembers a byte offset for each file: a line is delivered once it
-has its line break, and a line that is still being written waits. Partitions are files, read by the executors from their offset on.
+Each device appends JSON lines to its files, in a folder that the driver and all executors have mounted. The source's offset is the size of
+each file, so it never goes back, and taking it only lists the folder. A line belongs to the stretch of bytes in which its line break
+lies: a line that is still being written waits, and stretches of one file are read by different tasks without sharing a line.
+Where there is no such mount, writers rotate to new files and Spark's own file stream reads them, see `replay.oplog_stream`.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,47 +16,51 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 SCHEMA = "device_id string, file_name string, line_no bigint, line string"
+_STEP = 1 << 16
 
 
-class Slice(InputPartition):
+class Stretch(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
 
 
+def _line_start(f, at: int) -> int:
+    """Where the line begins that the byte before `at` belongs to, or `at` itself after a line break."""
+    while at > 0:
+        low = max(0, at - _STEP)
+        f.seek(low)
+        found = f.read(at - low).rfind(b"\n")
+        if found >= 0:
+            return low + found + 1
+        at = low
+    return 0
+
+
 class OplogReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.root, self.most = options["path"], int(options.get("maxBytesPerFile", 64 << 20))
+        self.root, self.split = options["path"], int(options.get("maxBytesPerTask", 64 << 20))
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        """End of the last whole line of every file, at most maxBytesPerFile further than before."""
-        before = getattr(self, "_offsets", {})
-        now = {}
-        for p in sorted(Path(self.root).glob("*/*.jsonl")):
-            start, size = before.get(str(p), 0), p.stat().st_size
-            with p.open("rb") as f:
-                f.seek(start)
-                chunk = f.read(min(size - start, self.most))
-                while b"\n" not in chunk and start + len(chunk) < size:
-                    chunk += f.read(self.most)
-            now[str(p)] = start + chunk.rfind(b"\n") + 1
-        self._offsets = now
-        return {"files": json.dumps(now, sort_keys=True)}
-
-    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        return {"files": json.dumps({str(p): p.stat().st_size for p in Path(self.root).glob("*/*.jsonl")}, sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[Stretch]:
         a, b = json.loads(start["files"]), json.loads(end["files"])
-        self._offsets = b
-        return [Slice(p, a.get(p, 0), e) for p, e in sorted(b.items()) if e > a.get(p, 0)]
+        return [Stretch(p, x, min(x + self.split, e)) for p, e in sorted(b.items()) for x in range(a.get(p, 0), e, self.split)]
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
+    def read(self, partition: Stretch) -> Iterator[tuple]:
         p = Path(partition.path)
         with p.open("rb") as f:
-            f.seek(partition.start)
-            at = partition.start
-            for raw in f.read(partition.end - partition.start).splitlines(keepends=True):
-                yield p.parent.name, p.name, at, raw.decode("utf-8", "replace").rstrip("\r\n")
+            at = _line_start(f, partition.start)
+            f.seek(at)
+            while at < partition.end:
+                raw = f.readline()
+                if not raw.endswith(b"\n") or at + len(raw) > partition.end:
+                    return
+                if at + len(raw) > partition.start:
+                    yield p.parent.name, p.name, at, raw.decode("utf-8", "replace").rstrip("\r\n")
                 at += len(raw)
 
     def commit(self, end: dict) -> None:
@@ -75,26 +80,3 @@ class OplogSource(DataSource):
 
     def streamReader(self, schema: StructType) -> OplogReader:
         return OplogReader(self.options)
-
-
-def append(root: str, device: str, day: str, lines: list[str], most_bytes: int = 1 << 20) -> str:
-    """Appends lines to the device's file of the day, a new file once it has reached most_bytes or ends in a torn line; the file's path."""
-    folder = Path(root) / device
-    folder.mkdir(parents=True, exist_ok=True)
-    n = 1
-    while True:
-        p = folder / f"oplog-{day}-{n:03d}.jsonl"
-        size = p.stat().st_size if p.exists() else 0
-        torn = False
-        if size:
-            with p.open("rb") as f:
-                f.seek(size - 1)
-                torn = f.read(1) != b"\n"
-        if size < most_bytes and not torn:
-            break
-        n += 1
-    with p.open("a", encoding="utf-8") as f:
-        f.writelines(x + "\n" for x in lines)
-        f.flush()
-        os.fsync(f.fileno())
-    return str(p)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import PurePosixPath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from engramlake.operators import changefeed
+from engramlake.session import shared_folder
 
 OPLOG = T.StructType([
     T.StructField("device_id", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("line_no", T.LongType()),
@@ -21,8 +19,7 @@ STATE = "entity_type string, entity_id string, clock struct<wall_ms:bigint,count
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder on the storage that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engramlake-")
-    return str(PurePosixPath(root) / name) if "://" not in root else f"{root.rstrip('/')}/{name}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}"
 
 
 def latest(images: DataFrame) -> DataFrame:
@@ -34,26 +31,34 @@ def latest(images: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """The state after each micro-batch, as a folder of its own; a batch that is run again overwrites its folder and
-    reads the one before it, so each change is applied once."""
+    """A base of one image for each entity and, for each micro-batch, a folder with the latest images of its entities.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A batch writes only what it brings, and one that is run again overwrites its own folder, so each change is applied once. The
+    state is the latest image over the base and all batches; `compact` makes it the new base, from which later batches count.
+    """
 
-    def at(self, batch: int) -> str:
-        return f"{self.path}/batch={batch:010d}"
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.base, self.first, self.last = spark, path, f"{path}/base=0", 0, -1
 
     def start(self, state: DataFrame) -> None:
-        state.write.mode("overwrite").parquet(self.at(0))
+        state.write.mode("overwrite").parquet(self.base)
 
     def merge(self, lines: DataFrame, batch: int) -> None:
         images = changefeed.feed_images(lines.withColumn("file", F.lit("")).withColumn("position", F.lit(0).cast("bigint")))
-        before = self.spark.read.schema(STATE).parquet(self.at(batch))
-        latest(before.unionByName(images.select(before.columns))).write.mode("overwrite").parquet(self.at(batch + 1))
-        self.last = batch + 1
+        latest(images).write.mode("overwrite").parquet(self._at(batch))
+        self.last = max(self.last, batch)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(STATE).parquet(self.at(getattr(self, "last", 0)))
+        paths = [self.base, *(self._at(i) for i in range(self.first, self.last + 1))]
+        return latest(self.spark.read.schema(STATE).parquet(*paths))
+
+    def compact(self) -> None:
+        new = f"{self.path}/base={self.last + 1}"
+        self.read().write.mode("overwrite").parquet(new)
+        self.base, self.first = new, self.last + 1
+
+    def _at(self, batch: int) -> str:
+        return f"{self.path}/batch={batch:010d}"
 
 
 def base_state(hlc: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -89,6 +94,7 @@ def replayed(spark: SparkSession, oplog: str, hlc: DataFrame, tombstones: DataFr
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window_start, event_type, n, total) of an event stream, later events than `late` left out as the watermark passes."""
+    """(window_start, event_type, n, total) of an event stream. Written in append or update mode, events later than `late` are left
+    out as the watermark passes; in complete mode all count and every window comes out."""
     w = F.window("ts", size)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
