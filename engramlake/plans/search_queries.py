@@ -263,13 +263,17 @@ _LINES = "lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS
 
 def _rules_sql() -> str:
     parts = []
-    for pattern, kind, predicate, confidence, capital in extraction.RULES:
+    for pattern, kind, predicate, confidence, capital, *unless in extraction.RULES:
         value = f"trim(split_part(regexp_extract(regexp_extract(t, {quoted('(?i)^' + pattern + '(.*)')}, 1), '^({extraction.CLAUSE})', 1), ' and ', 1), ' ')"
         if capital:
             value = f"upper(substr({value}, 1, 1)) || substr({value}, 2)"
-        parts.append(f"SELECT id, '{kind}' AS rule_kind, '{predicate}' AS predicate, {value} AS value, {confidence} AS confidence FROM t WHERE regexp_matches(t, {quoted('(?i)^' + pattern)})")
-    for pattern, kind, predicate, confidence in extraction.ZH_RULES:
-        parts.append(f"SELECT id, '{kind}', '{predicate}', regexp_extract(t, {quoted(pattern + '([^，。！？；、,.!?;' + chr(92) + 's]+)')}, 1), {confidence} FROM t WHERE regexp_matches(t, {quoted(pattern)})")
+        but = "".join(f" AND NOT regexp_matches(t, {quoted(u)})" for u in unless)
+        parts.append(f"SELECT id, '{kind}' AS rule_kind, '{predicate}' AS predicate, {value} AS value, {confidence} AS confidence FROM t WHERE regexp_matches(t, {quoted('(?i)^' + pattern)}){but}")
+    for pattern, kind, predicate, confidence, value, key, unless, *needs in extraction.PATTERNS:
+        said = quoted(value) if isinstance(value, str) else f"trim(regexp_extract(t, {quoted(pattern)}, {value}), ' ')"
+        named = f"'{predicate}'" + (f" || trim(regexp_extract(t, {quoted(pattern)}, {key}), ' ')" if key else "")
+        but = (f" AND NOT regexp_matches(t, {quoted(unless)})" if unless else "") + "".join(f" AND regexp_matches(t, {quoted(n)})" for n in needs)
+        parts.append(f"SELECT id, '{kind}', {named}, {said}, {confidence} FROM t WHERE regexp_matches(t, {quoted(pattern)}){but}")
     return " UNION ALL ".join(parts)
 
 
@@ -290,28 +294,44 @@ def i12(spark, d):
     return ms.memories(spark, d).where("kind = 'Text'").select("id", extraction.hint(F.col("text")).alias("hint"))
 
 
-_RELATED = """r AS (SELECT m.id, a.display_name || ' ' || replace(relation, '_', ' ') || ' ' || b.display_name AS text FROM m JOIN p a ON m.person_a = a.id JOIN p b ON m.person_b = b.id WHERE kind = 'Relationship')"""
+#: Sentences of the relationship rows, as the given tables hold none that states a relation in words.
+_NAMED = """n AS (SELECT m.id, a.display_name AS a, b.display_name AS b FROM m JOIN p a ON m.person_a = a.id JOIN p b ON m.person_b = b.id
+ WHERE kind = 'Relationship' AND a.display_name IS NOT NULL AND b.display_name IS NOT NULL)"""
+_SENTENCES = (
+    "{a} works with {b}", "{a} and {b} are colleagues.", "{a} is {b}'s friend.", "{a} reports to {b}", "{a} is {b}'s sister, they say", "{a} is married to {b}", "{a}是{b}的同事", "{a}和{b}是朋友",
+)
+_RELATED = "r AS (SELECT id, CASE ascii(substr(id, 36, 1)) % 8 " + " ".join(
+    f"WHEN {i} THEN {' || '.join(quoted(x) if x not in ('a', 'b') else x for x in parts if x)}" for i, parts in enumerate([x.replace("{", "|").replace("}", "|").split("|") for x in _SENTENCES])
+) + " END AS text FROM n)"
 
 
 def _related(spark, d):
-    p = ms.people(spark, d).select("id", "display_name")
-    r = ms.memories(spark, d).where("kind = 'Relationship'").select("id", "person_a", "person_b", "relation")
+    """Sentences that state the relationship rows, in one of eight ways by the last digit of their id."""
+    p = ms.people(spark, d).select("id", "display_name").where("display_name is not null")
+    r = ms.memories(spark, d).where("kind = 'Relationship'").select("id", "person_a", "person_b")
     named = r.join(p.toDF("person_a", "a"), "person_a").join(p.toDF("person_b", "b"), "person_b")
-    return named.select("id", F.concat_ws(" ", "a", F.replace("relation", F.lit("_"), F.lit(" ")), "b").alias("text"))
+    ways = [F.concat(*[F.col(x) if x in ("a", "b") else F.lit(x) for x in s.replace("{", "|").replace("}", "|").split("|") if x]) for s in _SENTENCES]
+    return named.select("id", F.element_at(F.array(*ways), F.ascii(F.substring("id", 36, 1)) % 8 + 1).alias("text"))
 
 
+_EN = "([A-Z][\\w'-]*(?: [A-Z][\\w'-]*)*)"
+_ZH_ONE = "([^\\s，。！？；：、,.!?;:的是和与跟]{1,8})"
 _REL_SQL = " UNION ALL ".join(
-    f"SELECT id, regexp_extract(text, {quoted(p)}, 1) AS person_a, '{r}' AS relation, regexp_extract(text, {quoted(p)}, 2) AS person_b FROM r WHERE regexp_matches(text, {quoted(p)})"
-    for p, r in ((f"{extraction.NAME} (?:is )?{v} {extraction.NAME}", r) for v, r in extraction.RELATION_VERBS.items())
-)
+    f"SELECT id, regexp_extract(hit, {quoted(p)}, {a}) AS person_a, '{rel}' AS relation, regexp_extract(hit, {quoted(p)}, {b}) AS person_b FROM (SELECT id, unnest(regexp_extract_all(text, {quoted(p)}, 0)) AS hit FROM r)"
+    for p, a, b, rel in (
+        (f"{_EN} works with {_EN}", 1, 2, "colleague_of"), (f"{_EN} and {_EN} are colleagues\\b", 1, 2, "colleague_of"), (f"{_EN} is {_EN}['’]s friend\\b", 1, 2, "friend_of"),
+        (f"{_EN} reports to {_EN}", 1, 2, "reports_to"), (f"{_EN} is {_EN}['’]s sister\\b", 1, 2, "sibling_of"), (f"{_EN} (?:is )?married to {_EN}", 1, 2, "spouse_of"),
+        (f"{_ZH_ONE}是{_ZH_ONE}的同事", 1, 2, "colleague_of"), (f"{_ZH_ONE}[和与跟]{_ZH_ONE}是朋友", 1, 2, "friend_of"),
+    )
+)
 
 
-@query("i15_relations", sq.with_m(_REL_SQL, sq.PEOPLE, _RELATED))
+@query("i15_relations", sq.with_m(_REL_SQL, sq.PEOPLE, _NAMED, _RELATED))
 def i15(spark, d):
     return extraction.relations(_related(spark, d)).select("id", "person_a", "relation", "person_b")
 
 
-@query("i18_inverse", sq.with_m(f"SELECT id, person_a, relation, person_b FROM rel UNION ALL SELECT id, person_b, inv, person_a FROM rel JOIN (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in extraction.INVERSES.items())}) i(relation, inv) USING (relation)", sq.PEOPLE, _RELATED, f"rel AS ({_REL_SQL})"))
+@query("i18_inverse", sq.with_m(f"SELECT id, person_a, relation, person_b FROM rel UNION ALL SELECT id, person_b, inv, person_a FROM rel JOIN (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in extraction.INVERSES.items())}) i(relation, inv) USING (relation)", sq.PEOPLE, _NAMED, _RELATED, f"rel AS ({_REL_SQL})"))
 def i18(spark, d):
     return extraction.with_inverses(extraction.relations(_related(spark, d))).select("id", "person_a", "relation", "person_b")
 
