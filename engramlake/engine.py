@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.operators import changefeed, extraction, ingest, knowledge, lifecycle, plugins, reports, scans, search
+from engramlake.session import ship
 from engramlake.sources import memory_store, table
 
 
@@ -21,6 +22,7 @@ class Engine:
     plugins: list = field(default_factory=lambda: [plugins.TagClassifier()])
 
     def __post_init__(self):
+        ship(self.spark)
         self.now = F.current_timestamp() if self.now is None else self.now
 
     @property
