@@ -66,6 +66,8 @@ class ToxicityConfig:
     known_words: float = 0.6
     #: The review limit is the lowest one whose expected F measure on held-out documents is this share of the best.
     of_best: float = 0.98
+    #: An expected grade below this is never a reason to review; with few labels the held-out documents alone would not tell.
+    least_limit: float = 0.05
 
 
 def features(words: list[str]) -> set[str]:
@@ -292,6 +294,7 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
     best = None
     for ridge, held in sample.held_out().items():
         limit, f = review_limit(held, toxic, config.of_best)
+        limit = max(limit, config.least_limit)
         if best is None or f > best[0]:
             best = f, ridge, limit, held
     _, ridge, limit, held = best

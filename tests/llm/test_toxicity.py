@@ -77,3 +77,13 @@ def test_scorer_sums_the_features():
     for n in range(1, 40):
         want = sum(weights.get(f, 0.0) for f in toxicity.features(words[:n]))
         assert abs(toxicity.Scorer(weights).piece(words[:n]) - want) < 1e-9
+
+
+def test_held_out_limit_finds_what_it_was_chosen_for(spark):
+    rows, labels = corpus(600, 5)
+    model = toxicity.fit(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, LABEL))
+    listed = [s >= model["review_from"] for s, _ in model["held_out"]]
+    truth = [i % 5 == 0 for i in range(600)]
+    found = sum(a and b for a, b in zip(listed, truth))
+    assert found / sum(truth) >= 0.95 and found / sum(listed) >= 0.95
+    assert not any(w.startswith("#") and abs(v) > 5 for w, v in model["weights"].items())
