@@ -373,12 +373,35 @@ def l14b(spark, d):
     return ingest.telling(ingest.tfidf(_sessions(spark, d)), 3).select("session", "id", "nth")
 
 
-_CTX = """lines AS (SELECT 'profile' AS section, base_score AS rank_by, id, format('- {} = {} (confidence: {:.0f}%)', key, value, confidence * 100) AS line FROM m WHERE kind = 'Preference' AND tier = 'semantic' AND confidence >= 0.3 AND privacy <> 'private'
- UNION ALL SELECT 'facts', base_score, id, format('- {} {} {} (confidence: {:.0f}%)', subject, predicate, object, base_score * 100) FROM m WHERE kind = 'Fact' AND tier = 'semantic' AND base_score >= 0.3 AND privacy <> 'private'
- UNION ALL SELECT 'recent', epoch_us(ingestion_time) // 1000, id, '- [' || strftime(ingestion_time AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || '] ' || substr(text, 1, 300) FROM m WHERE kind = 'Text' AND tier = 'episodic' AND text IS NOT NULL AND privacy <> 'private'),
- packed AS (SELECT *, row_number() OVER w AS line_no, sum(octet_length(encode(line))) OVER w AS used FROM lines WINDOW w AS (PARTITION BY section ORDER BY rank_by DESC, id ROWS UNBOUNDED PRECEDING))"""
-
-
-@query("c2_context", sq.with_m("SELECT section, line_no, line FROM packed WHERE used <= CASE section WHEN 'recent' THEN 8000 * 20 // 70 ELSE 8000 * 25 // 70 END", _CTX))
+_PERSON = "(SELECT max(identity_id) FROM m WHERE identity_id IN (SELECT id FROM p))"
+_CTX = f"""b AS (SELECT user_id::VARCHAR AS key, list_reduce(list_prepend(0.5::DOUBLE, list(CASE WHEN event_type <> 'error' THEN 0.5 + value / (value + 50) / 2 ELSE 0.5 - value / (value + 50) / 2 END ORDER BY ts, event_id)),
+ lambda p, l: least(0.999, greatest(0.001, l * p / (l * p + (1 - l) * (1 - p))))) AS probability FROM events GROUP BY 1),
+ vis AS (SELECT * FROM m WHERE tier <> 'archived' AND privacy <> 'private'),
+ lines AS (SELECT 'profile' AS section, base_score AS rank_by, id, format('- {{}} = {{}} (confidence: {{:.0f}}%)', key, value, confidence * 100) AS line FROM vis WHERE kind = 'Preference' AND tier = 'semantic' AND confidence >= 0.3
+ UNION ALL SELECT 'facts', base_score, id, format('- {{}} {{}} {{}} (confidence: {{:.0f}}%)', subject, predicate, object, base_score * 100) FROM vis WHERE kind = 'Fact' AND tier = 'semantic' AND base_score >= 0.3
+ UNION ALL SELECT 'recent', epoch_us(ingestion_time) // 1000, id, '- [' || strftime(ingestion_time AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || '] ' || substr(text, 1, 300) FROM vis WHERE kind = 'Text' AND tier = 'episodic' AND text IS NOT NULL
+ UNION ALL SELECT * FROM (SELECT 'patterns', frequency / 100.0, id, format('- When "{{}}": {{}} (seen {{}}x)', trigger, array_to_string(actions, ', '), frequency) FROM vis WHERE kind = 'Pattern' AND frequency >= 3 ORDER BY frequency DESC, id LIMIT 5)
+ UNION ALL SELECT 'partner', 1.0, id, '- Name: ' || display_name FROM p WHERE id = {_PERSON}
+ UNION ALL SELECT 'partner', 0.9, id, '- Relationship: ' || relationship FROM p WHERE id = {_PERSON} AND relationship <> ''
+ UNION ALL SELECT 'partner', 0.5, id, '- Interactions: ' || interaction_count FROM p WHERE id = {_PERSON}
+ UNION ALL SELECT 'partner', 0.4, id, '- Tags: ' || array_to_string(tags, ', ') FROM p WHERE id = {_PERSON} AND len(tags) > 0
+ UNION ALL SELECT * FROM (SELECT 'partner', base_score, id, '  - ' || substr(text, 1, 300) FROM vis WHERE kind = 'Text' AND identity_id = {_PERSON} AND text IS NOT NULL ORDER BY created_at DESC NULLS LAST, id LIMIT 3)
+ UNION ALL SELECT 'beliefs', abs(probability - 0.5) * 2, key, format('- {{}} ({{}}, {{:.0f}}%)', key, CASE WHEN probability > 0.5 THEN 'likely' ELSE 'unlikely' END, probability * 100) FROM b WHERE probability >= 0.8 OR probability <= 0.2),
+ filled AS (SELECT *, sum(octet_length(encode(line))) OVER w AS sized, row_number() OVER w AS pos, list_distinct(string_split(trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS words
+  FROM lines WHERE line IS NOT NULL WINDOW w AS (PARTITION BY section ORDER BY rank_by DESC, id ROWS UNBOUNDED PRECEDING)),
+ kept AS (SELECT section, pos, line, sum(octet_length(encode(line))) OVER (PARTITION BY section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM filled x WHERE sized <= 32000 AND NOT EXISTS (SELECT 1 FROM filled y WHERE y.sized <= 32000 AND x.section = y.section AND x.pos > y.pos
+  AND ((len(x.words) = len(y.words) AND len(list_intersect(x.words, y.words)) = len(x.words)) OR (len(x.words) >= 3 AND len(y.words) >= 3 AND len(list_intersect(x.words, y.words)) > 0.8 * least(len(x.words), len(y.words)))))),
+ shares AS (SELECT section, floor(weight * 8000 / sum(weight) OVER ()) AS share FROM (SELECT DISTINCT section FROM kept) JOIN (VALUES ('profile', 25), ('facts', 25), ('partner', 10), ('recent', 20), ('patterns', 10), ('beliefs', 10)) v(section, weight) USING (section)),
+ spare AS (SELECT sum(share - coalesce((SELECT max(used) FROM kept k WHERE k.section = s.section AND used <= share), 0)) AS spare, count(*) AS n FROM shares s),
+ room AS (SELECT section, share + CASE WHEN spare > 100 THEN floor(spare / n) ELSE 0 END AS room FROM shares, spare)"""
+
+
+@query("c2_context", sq.with_m("SELECT section, row_number() OVER (PARTITION BY section ORDER BY pos) AS line_no, line FROM kept JOIN room USING (section) WHERE used <= room", sq.PEOPLE, _CTX))
 def c2(spark, d):
-    return ingest.context(ingest.context_lines(ms.memories(spark, d)))
+    from engramlake.operators import knowledge
+    from engramlake.plans.knowledge_queries import _observations
+
+    m, people = ms.memories(spark, d), ms.people(spark, d)
+    person = m.select(F.col("identity_id").alias("id")).join(people, "id", "left_semi").agg(F.max("id")).first()[0]
+    held = knowledge.beliefs(_observations(spark, d)).where("probability >= 0.8 or probability <= 0.2")
+    return ingest.context(ingest.context_lines(m).union(ingest.partner_lines(people, m, person)).union(ingest.belief_lines(held)))
