@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramlake.operators.search import byte_budget
 from engramlake.session import checkpointed
 
 
@@ -109,18 +106,18 @@ def near_lines(a: Column, b: Column) -> Column:
 def context(lines: DataFrame, max_tokens: int = 2000) -> DataFrame:
     """(section, line_no, line): the best lines of each section within its share of the budget of four bytes a token.
 
-    A line that says nearly what a better one of its section says is left out; this is judged among the lines that would fill four
-    budgets. Sections without lines give their share to the others, and in a second pass all get an even part of what was
+    A line that says nearly what a better one of its section says is left out; this is judged among the lines that would fill two
+    budgets, of which a line takes eight bytes at least. Sections without lines give their share to the others, and in a second pass all get an even part of what was
     not used, if that is more than a hundred bytes.
     """
     budget = 4 * max_tokens
-    order = (F.desc("rank_by"), F.col("id"))
-    best = reduce(DataFrame.union, [byte_budget(lines.where(F.col("section") == s), 4 * budget, *order) for s in SECTIONS])
-    w = Window.partitionBy("section").orderBy(*order)
-    numbered = checkpointed(best.select("section", F.row_number().over(w).alias("at"), "line", plain_words(F.col("line")).alias("words")))
+    w = Window.partitionBy("section").orderBy(F.desc("rank_by"), "id")
+    best = lines.where("line is not null").withColumn("at", F.row_number().over(w)).where(F.col("at") <= budget // 8)
+    upto = Window.partitionBy("section").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    some = best.withColumn("size", F.sum(F.octet_length("line")).over(upto)).where(F.col("size") <= 2 * budget)
+    numbered = checkpointed(some.select("section", "at", "line", plain_words(F.col("line")).alias("words")))
     x, y = numbered.alias("x"), numbered.alias("y")
     same = (F.col("x.section") == F.col("y.section")) & (F.col("x.at") > F.col("y.at")) & near_lines(F.col("x.words"), F.col("y.words"))
-    upto = Window.partitionBy("section").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     kept = checkpointed(x.join(y, same, "left_anti").withColumn("used", F.sum(F.octet_length("line")).over(upto)))
     weight = F.element_at(F.create_map(*[F.lit(v) for kv in SECTIONS.items() for v in kv]), F.col("section"))
     present = kept.groupBy("section").agg(F.first(weight).alias("weight"))

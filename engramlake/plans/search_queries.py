@@ -389,7 +389,7 @@ _CTX = f"""b AS (SELECT user_id::VARCHAR AS key, list_reduce(list_prepend(0.5::D
  UNION ALL SELECT 'beliefs', abs(probability - 0.5) * 2, key, format('- {{}} ({{}}, {{:.0f}}%)', key, CASE WHEN probability > 0.5 THEN 'likely' ELSE 'unlikely' END, probability * 100) FROM b WHERE probability >= 0.8 OR probability <= 0.2),
  filled AS (SELECT *, sum(octet_length(encode(line))) OVER w AS sized, row_number() OVER w AS pos, list_distinct(string_split(trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS words
   FROM lines WHERE line IS NOT NULL WINDOW w AS (PARTITION BY section ORDER BY rank_by DESC, id ROWS UNBOUNDED PRECEDING)),
- kept AS (SELECT section, pos, line, sum(octet_length(encode(line))) OVER (PARTITION BY section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM filled x WHERE sized <= 32000 AND NOT EXISTS (SELECT 1 FROM filled y WHERE y.sized <= 32000 AND x.section = y.section AND x.pos > y.pos
+ kept AS (SELECT section, pos, line, sum(octet_length(encode(line))) OVER (PARTITION BY section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM filled x WHERE sized <= 16000 AND pos <= 1000 AND NOT EXISTS (SELECT 1 FROM filled y WHERE y.sized <= 16000 AND y.pos <= 1000 AND x.section = y.section AND x.pos > y.pos
   AND ((len(x.words) = len(y.words) AND len(list_intersect(x.words, y.words)) = len(x.words)) OR (len(x.words) >= 3 AND len(y.words) >= 3 AND len(list_intersect(x.words, y.words)) > 0.8 * least(len(x.words), len(y.words)))))),
  shares AS (SELECT section, floor(weight * 8000 / sum(weight) OVER ()) AS share FROM (SELECT DISTINCT section FROM kept) JOIN (VALUES ('profile', 25), ('facts', 25), ('partner', 10), ('recent', 20), ('patterns', 10), ('beliefs', 10)) v(section, weight) USING (section)),
  spare AS (SELECT sum(share - coalesce((SELECT max(used) FROM kept k WHERE k.section = s.section AND used <= share), 0)) AS spare, count(*) AS n FROM shares s),
