@@ -29,18 +29,16 @@ def flatten(raw: DataFrame) -> DataFrame:
 
     Only the JSON columns that a query uses are parsed, as the unused ones are pruned. Null ids are left out.
     """
-    once = newest_per(
-        raw.withColumn("id", canonical_id(F.col("id"))).where("id is not null"),
-        "id", F.desc_nulls_last("updated_at"), F.desc_nulls_last("temporal_json"), F.desc_nulls_last("salience_json"),
-    )
     c, t, s, b = F.col("c"), F.col("t"), F.col("s"), F.col("b")
-    parsed = once.select(
+    # parsed below the window, so that each document is parsed once and not once for each of its fields
+    parsed = raw.withColumn("id", canonical_id(F.col("id"))).where("id is not null").select(
         "*",
         F.from_json("content_json", CONTENT).alias("c"), F.from_json("temporal_json", TEMPORAL).alias("t"),
         F.from_json("source_json", SOURCE).alias("s"), F.from_json("salience_json", SALIENCE).alias("b"),
     )
+    once = newest_per(parsed, "id", F.desc_nulls_last("updated_at"), F.desc_nulls_last("temporal_json"), F.desc_nulls_last("salience_json"))
     kind = F.coalesce(*[F.when(c.getField(k).isNotNull(), k) for k in KINDS])
-    return parsed.select(
+    return once.select(
         "id", "tier", kind.alias("kind"), c.Text.alias("text"),
         c.Fact.subject.alias("subject"), c.Fact.predicate.alias("predicate"), c.Fact["object"].alias("object"),
         c.Preference.key.alias("key"), c.Preference.value.alias("value"), c.Preference.confidence.alias("confidence"),
