@@ -299,6 +299,7 @@ def fit(documents: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
             best = f, ridge, limit, held
     _, ridge, limit, held = best
     w, theta = sample.fit(*sample.examples(np.ones(len(sample.docs), bool)), ridge)
+    limit = max(limit, 2 * float(severity(0.0, theta)))  # what shows no learned feature is never listed
     weights = {f: float(w[i]) for f, i in sample.vocabulary.items() if abs(w[i]) > 1e-3}
     return {"weights": weights, "theta": theta.tolist(), "review_from": limit, "ridge": ridge, "held_out": list(zip(held.tolist(), toxic.tolist()))}
 

@@ -87,3 +87,11 @@ def test_held_out_limit_finds_what_it_was_chosen_for(spark):
     found = sum(a and b for a, b in zip(listed, truth))
     assert found / sum(truth) >= 0.95 and found / sum(listed) >= 0.95
     assert not any(w.startswith("#") and abs(v) > 5 for w, v in model["weights"].items())
+
+
+def test_nothing_is_listed_where_nothing_was_learned(spark):
+    rows, _ = corpus(60, 6)
+    docs = spark.createDataFrame(rows, DOC)
+    for labels in ([(i, "r1", 0, "") for i in range(60)], [(i, "r1", int(i == 1), "") for i in range(60)]):
+        model = toxicity.fit(docs, spark.createDataFrame(labels, LABEL))
+        assert toxicity.to_review(toxicity.score_documents(docs, model), model).count() <= 1
