@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from engramlake.operators import scans, vectors
 from engramlake.operators.lifecycle import frecency, hours
 from engramlake.operators.rendering import rendered
+from engramlake.session import checkpointed
 
 WORD = r"[\p{L}\p{N}]+"
 #: Question words and the like that carry no meaning of their own, fixed values.
@@ -154,12 +155,13 @@ def _occurrences(words: Column, term: str) -> Column:
 def bm25(documents: DataFrame, terms: list[str], every: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score, norm) of the documents (id, text) with all, or any, of the terms.
 
-    Only the query's terms are counted, in one pass without exploding texts; the corpus statistics are one row. norm puts the
+    Only the query's terms are counted, in one pass without exploding texts, and the counts are kept for the steps that follow; the corpus statistics are one row. norm puts the
     best at 1 and the worst at 0, all at 1 if they are equal. Null texts are no documents.
     """
     terms = sorted(set(terms))
     w = tokens(F.col("text"))
-    counted = documents.where("text is not null").select("id", F.size(w).alias("len"), *[_occurrences(w, t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = documents.where("text is not null").select("id", w.alias("w"))
+    counted = checkpointed(words.select("id", F.size("w").alias("len"), *[_occurrences(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     facts = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     has = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
     matched = counted.where(reduce((lambda x, y: x & y) if every else (lambda x, y: x | y), has))
@@ -293,11 +295,13 @@ def retrieve(memories: DataFrame, query: Query, now: Column, embedded: DataFrame
     phases.append((3, F.lit(0.30), expanded(memories, expansion_terms(memories, query), k)))
     if query.intent != "none":
         phases.append((4, F.lit(0.3), temporal_candidates(memories, query.intent, 3 * k)))
-    first = lambda ps: reduce(DataFrame.union, [df.select("id", F.lit(p).alias("phase"), s.alias("sim")) for p, s, df in ps]).groupBy("id").agg(F.min_by("sim", "phase").alias("similarity"))
-    seeds = first(phases).orderBy(F.desc("similarity"), "id").limit(5)
-    phases.append((5, F.lit(0.25), multi_hop(memories, seeds, k)))
+    named = lambda ps: reduce(DataFrame.union, [df.select("id", F.lit(p).alias("phase"), s.alias("sim")) for p, s, df in ps])
+    first = lambda df: df.groupBy("id").agg(F.min_by("sim", "phase").alias("similarity"))
+    early = checkpointed(named(phases))  # a few rows, asked for three times below
+    seeds = checkpointed(first(early).orderBy(F.desc("similarity"), "id").limit(5))
+    phases = [(5, F.lit(0.25), multi_hop(memories, seeds, k))]
     matches = bm25(memories.where("privacy <> 'private'").select("id", rendered().alias("text")), query.terms)
     best = matches.orderBy(F.desc("score"), "id").limit(3 * k)
     phases.append((6, F.lit(0.2), best))
-    rows = memories.join(F.broadcast(first(phases)), "id").join(F.broadcast(best.select("id", F.col("norm").alias("fts"))), "id", "left")  # less than 20 rows for each one asked for
+    rows = memories.join(F.broadcast(first(early.union(named(phases)))), "id").join(F.broadcast(best.select("id", F.col("norm").alias("fts"))), "id", "left")  # less than 20 rows for each one asked for
     return ranked(rows.withColumn("fts", F.coalesce("fts", F.lit(0.0))), query, now)
