@@ -33,12 +33,13 @@ def batch_report(marked: DataFrame) -> DataFrame:
 def tfidf(texts: DataFrame) -> DataFrame:
     """(session, id, score): how telling each text (session, id, text) is within its session: the sum over its words of
     frequency times ln(texts of the session / texts with the word). Counted by session and word, so long sessions are split."""
-    words = texts.where("text is not null").select("session", "id", F.explode(F.filter(F.split(F.lower(F.btrim("text", F.lit(" \t\r\n"))), r"\s+"), lambda w: w != "")).alias("word"))
-    counts = words.groupBy("session", "id", "word").agg(F.count("*").alias("tf"))
-    length = counts.groupBy("session", "id").agg(F.sum("tf").alias("total"))
-    docs = length.groupBy("session").agg(F.count("*").alias("n"))
-    df = counts.groupBy("session", "word").agg(F.count("*").alias("df"))
-    joined = counts.join(df, ["session", "word"]).join(length, ["session", "id"]).join(docs, "session")
+    split = F.filter(F.split(F.lower(F.btrim("text", F.lit(" \t\r\n"))), r"\s+"), lambda w: w != "")
+    told = texts.where("text is not null").select("session", "id", split.alias("words")).where("size(words) > 0")
+    n = told.groupBy("session").agg(F.count("*").alias("n"))
+    words = told.select("session", "id", F.size("words").alias("total"), F.explode("words").alias("word"))
+    counts = words.groupBy("session", "id", "total", "word").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("session", "word").agg(F.count("*").alias("df")).join(n, "session")
+    joined = counts.join(df, ["session", "word"])
     return joined.groupBy("session", "id").agg(F.sum(F.col("tf") / F.col("total") * F.ln(F.col("n") / F.col("df"))).alias("score"))
 
 
