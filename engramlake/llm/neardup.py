@@ -224,7 +224,7 @@ def similar_classes(rows: DataFrame, config: NearDupConfig = NearDupConfig()) ->
 
     rows: of `sketched`; copies of a text are reduced to one before anything is compared. A band value that very many texts share is
     joined in slices by Spark's skew handling; nothing is capped. A pair is compared on its words once. Nothing is broadcast:
-    registers and words are joined to the pairs by shuffles.
+    band keys, registers and words are joined by shuffles; the hints say so, as Spark takes the exploded keys for no larger than the rows they come from.
     """
     # 8 bytes of the digest stand for the text
     coded = rows.select(_handle().alias("c"), F.col("n_words").cast("int"), "probe", "bands", "wide")
@@ -232,7 +232,7 @@ def similar_classes(rows: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     short = first("n_words", "bands", "probe").select(F.explode("bands").alias("key"), "c", "n_words", "probe")
     differing = F.lit(config.probes) - _agreeing(F.col("x.probe"), F.col("y.probe"))
     near = (
-        short.alias("x").join(short.alias("y"), "key")
+        short.alias("x").join(short.alias("y").hint("merge"), "key")
         .where((F.col("x.c") < F.col("y.c")) & (F.least("x.n_words", "y.n_words") >= F.lit(config.overlap) * F.greatest("x.n_words", "y.n_words")))
         .where(differing >= _least_agreeing(config))
         .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
@@ -312,7 +312,7 @@ def near_duplicates(texts: DataFrame, config: NearDupConfig = NearDupConfig()) -
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of near-duplicate or equal texts."""
-    a, b = members.toDF("id_a", "class_a"), members.toDF("id_b", "class_b")
+    a, b = members.toDF("id_a", "class_a").hint("merge"), members.toDF("id_b", "class_b").hint("merge")
     near = pairs.join(a, "class_a").join(b, "class_b").where("id_a <> id_b")
     equal = a.join(b, F.col("class_a") == F.col("class_b")).where("id_a < id_b")
     return near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).union(equal.select("id_a", "id_b")).distinct()
@@ -322,6 +322,6 @@ def duplicate_report(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, text_class, copies, links) of every text: how many ids have the same words, and how many other classes are near."""
     links = pairs.union(pairs.select("class_b", "class_a")).toDF("text_class", "other").groupBy("text_class").agg(F.count("*").alias("links"))
     copies = members.groupBy("text_class").agg(F.count("*").alias("copies"))
-    return members.join(copies, "text_class").join(links, "text_class", "left").select(
+    return members.join(copies.hint("merge"), "text_class").join(links.hint("merge"), "text_class", "left").select(
         "id", F.lower(F.hex("text_class")).alias("text_class"), "copies", F.coalesce("links", F.lit(0)).alias("links")
     )

@@ -45,6 +45,24 @@ def test_classes_are_joined_by_shuffles(spark, capsys):
     assert "Broadcast" not in capsys.readouterr().out
 
 
+def test_no_step_broadcasts(spark, capsys, monkeypatch):
+    # the plans that ran, as adaptive execution changes joins on the way
+    cut, listed = nd.checkpointed, []
+
+    def shown(df):
+        out = cut(df)
+        df.explain()
+        return out
+
+    monkeypatch.setattr(nd, "checkpointed", shown)
+    members, pairs = nd.near_duplicates(spark.createDataFrame(corpus(), "id string, text string"))
+    for df in (nd.duplicate_pairs(members, pairs), nd.duplicate_report(members, pairs)):
+        listed.append(df.collect())
+        df.explain()
+    plans = capsys.readouterr().out
+    assert all(listed) and plans.count("isFinalPlan=true") >= 3 and "Broadcast" not in plans
+
+
 def test_packed_registers():
     import numpy as np
 
