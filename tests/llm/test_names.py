@@ -1,3 +1,6 @@
+import json
+import random
+
 from engramlake.llm import names as nm
 
 PEOPLE, IDS = "id string, display_name string, extra int", "person_id string, channel string, channel_user_id string, username string, display_name string"
@@ -73,5 +76,45 @@ def test_relation_keys_cover_compare():
     assert all(keyed[i][0] & keyed[j][1] or keyed[j][0] & keyed[i][1] for i, j in judged)
 
 
+def test_unlike_names_are_not_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    stems = {"".join(rng.choice(c) for c in ("bdfgkl", "aeiou", "mnrst", "hjpvwz", "aeiou", "cdglnt")) for _ in range(250)}
+    people = [(f"a{i:03d}", f"Johanna {x}gate", 1) for i, x in enumerate(sorted(stems))]
+    people += [("m1", "Johanna Stunmongate", 1), ("m2", "Johanna Sutnmongate", 1), ("m3", "Johnna Stunmongaet", 1)]
+    proposed, propose = [], nm.candidate_pairs
+
+    def kept(*given):
+        proposed.append(propose(*given))
+        return proposed[-1]
+
+    monkeypatch.setattr(nm, "candidate_pairs", kept)
+    assert {("m1", "m2"), ("m1", "m3")} <= linked(spark, people, [])
+    assert proposed[0].count() < len(people) ** 2 / 2 / 4
+
+
+def test_candidates_hold_what_compare_finds(spark):
+    rng = random.Random(4)
+
+    def typed(name):
+        i = rng.randrange(len(name) - 1)
+        return rng.choice([name, name[:i] + name[i + 1 :], name[:i] + name[i + 1] + name[i] + name[i + 2 :], name[:i] + rng.choice("aeln") + name[i:]])
+
+    profiles = {}
+    for family in "geangearkamp stunmongate kustaley brindegate voss".split():
+        for given in "Johanna Robert Bob J Jo Sofia Sophia Bobby".split():
+            f = typed(family)
+            for shown, handle in ((f"{given} {f}", None), (f"{f.title()} {given[0]}", f"{given.lower()}{typed(family)}"), (None, f"{given[:3].lower()}{f}"), (None, f"{f}{given[0].lower()}")):
+                profiles[json.dumps(nm.profile([shown], [handle]))] = 1
+        for trade in ("Labs", "Seed Ltd"):
+            profiles |= {json.dumps(nm.profile([f"{typed(family).title()} {trade}"], [])): 1, json.dumps(nm.profile([], [f"{family}{trade[:3].lower()}"])): 1}
+    profiles = [(i, p) for i, p in enumerate(profiles)]
+    read = [(set(nm.suffix_keys(x := json.loads(p))), x) for _, p in profiles]
+    want = {(j, i) for i, (k, x) in enumerate(read) for j, (l, y) in enumerate(read[:i]) if k & l and nm.compare(x, y)}
+    df = spark.createDataFrame(profiles, "code bigint, profile string")
+    for config in (nm.NameConfig(), nm.NameConfig(max_block=3, slice_size=1000), nm.NameConfig(max_block=3, slice_size=5)):
+        got = {tuple(r) for r in nm.candidate_pairs(df, config).collect()}
+        assert len(want) > 300 and want <= got
+
+
 def test_empty(spark):
     assert linked(spark, [], []) == set()
