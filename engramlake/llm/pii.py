@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,8 +57,9 @@ _DIGIT_WORDS = "(?i:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _NUMBER = re.compile(
     rf"(?<![\w@./:-])(?:\+|\()?(?:[A-Z]{{1,2}} ?)?\d(?:[\d .()/-]{{4,22}})\d(?:[-/ ]?[A-Z](?![A-Za-z]))?(?![\w@])|(?<!\w)\d{{3}}(?:[ -](?:{_DIGIT_WORDS})){{4,}}(?!\w)|(?<!\w)(?:(?:{_DIGIT_WORDS})[ -]){{6,}}(?:{_DIGIT_WORDS})(?!\w)",
 )
-#: What every number in words holds; tested first, as most strings hold no number at all.
+#: What every number in words holds; tested first, as most strings hold no number at all. It is of seven words or more.
 _SPELLED = re.compile(rf"(?:{_DIGIT_WORDS})[ -](?:{_DIGIT_WORDS})")
+_DIGIT_SET = frozenset(re.findall("[a-z]{2,}", _DIGIT_WORDS))
 _TYPES_SURE = "street|road|avenue|boulevard|lane|terrace|court|crescent|(?:ave|blvd|rd)\\b\\.?"
 _TYPES_DOUBTFUL = "(?:st|ln|dr|ct)\\b\\.?|drive|close|way|hill|place|square|row|grove|gardens|walk"
 _DOUBTFUL_WORDS = frozenset(re.findall("[a-z]+", _TYPES_DOUBTFUL)) - {"b"}
@@ -75,8 +76,18 @@ _PARTICLE = r"(?:van der|van|von|de la|de|del|di|al|el|la|bin|ibn)"
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’]*(?:-[^\W\d_][\w'’]*)*"
 _TITLED = re.compile(rf"(?<!\w){_TITLE} (?:{_CAP} )?(?:{_PARTICLE} )?{_CAP}")
 _INITIAL = re.compile(rf"(?<![\w.])[A-Z]\. (?:[A-Z]\. )?(?:{_PARTICLE} )?{_CAP}(?!\w)")
+#: Where matches may begin. The engine skips to a first character of a class, but tries a pattern that begins with a look behind or
+#: ignores case at every character, so these are found first and the pattern is tried there only.
+_TITLED_AT = re.compile(r"[DFHMPS](?=(?:rof|rs|rau|ra|r|s|iss|me|err|eñora|eñor|)\.? )")
+_INITIAL_AT = re.compile(r"[A-Z](?=\. )")
+_DIGITS = re.compile(r"\d+")
+_CALLE_AT = re.compile(r"[AaCcPp](?=(?i:alle|venida|vda|laza|aseo|amino|arrera|[/.]))")
+_JOINED = re.compile(r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm)\Z", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Translates an ASCII text to its runs of letters, faster than the pattern does.
+_BLANKED = "".join(c if c.isalpha() else " " for c in map(chr, range(128)))
 _TOKEN = re.compile(r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*\.?")
-_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
+_LITERAL = re.compile(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(\s*:)?', re.S)
 
 _CTX = {
     "phone": r"\b(?:call|text me|phone|tel|telefon|teléfono|téléphone|mobile|number changed|number is|ring|dial|dial-in|appelez|llama|llame|anruf|ruf|whatsapp|sms|contact|reach)|电话|手机|致电",
@@ -123,6 +134,45 @@ def strings_of(content: str) -> Iterator[tuple[int, int, str, str]]:
         yield m.start(1), m.end(1), text, named if key in ("object", "value") and named else key
 
 
+def _matches(pattern: re.Pattern, text: str, starts: Iterable[int]) -> Iterator[re.Match]:
+    """What finditer gives, if the ascending `starts` hold every place where a match begins."""
+    end = 0
+    for at in starts:
+        if at >= end and (m := pattern.match(text, at)):
+            yield m
+            end = m.end()
+
+
+def _street_starts(text: str, numbers: list[int]) -> list[int]:
+    """Where a street may begin; `numbers` are the first digits of all numbers."""
+    starts = {*numbers, *(m.start() for m in _CALLE_AT.finditer(text))}
+    for at in numbers:
+        one, two = text[max(0, at - 1) : at], text[max(0, at - 2) : max(0, at - 1)]
+        if one == " " and two:
+            if two in "TtEe.":  # of apartment, suite, apt., flat and unit, apt
+                starts.update(range(max(0, at - 10), at - 3))
+            if two in "EeGgMmRrZz." and _JOINED.search(text, max(0, at - 8), at - 1):
+                first = at - 2
+                while first and (text[first - 1].isalnum() or text[first - 1] in "_-"):
+                    first -= 1
+                starts.update(range(first, at - 1))
+        if one and (one in "路街巷道" or one.isspace() and two and two in "路街巷道"):
+            starts.update(range(max(0, at - 9), at))
+    return sorted(starts)
+
+
+def _number_starts(text: str, numbers: list[int]) -> list[int]:
+    """Where a number that isn't all words may begin."""
+    starts = set(numbers)
+    for at in numbers:
+        one, two = text[max(0, at - 1) : at], text[max(0, at - 2) : max(0, at - 1)]
+        if one and one in "+(":
+            starts.add(at - 1)
+        elif "A" <= one <= "Z" or one == " " and "A" <= two <= "Z":
+            starts.update(range(max(0, at - 4), at))
+    return sorted(starts)
+
+
 def _lowered_family(word: str, tails: frozenset) -> bool:
     return len(word) >= 4 and word[-3:].lower() in tails
 
@@ -132,6 +182,7 @@ class Proposer:
 
     def __init__(self, given: frozenset, tails: frozenset, buckets: int):
         self.given, self.tails, self.buckets = given, tails, buckets
+        self.first = frozenset(m[0] for g in given if (m := _LETTERS.match(g)))
         self.hashed: dict[str, int] = {}
 
     def _h(self, f: str) -> int:
@@ -148,18 +199,20 @@ class Proposer:
         taken: list[tuple[int, int]] = []
         by_field = _FIELD_TYPE.get(field)
         low = text.lower()
-        has_digit = any(map(str.isdigit, text))
+        words = low.translate(_BLANKED).split() if text.isascii() else _LETTERS.findall(low)
+        numbers = [m.start() for m in _DIGITS.finditer(text)]
         if "@" in text or "＠" in text or "at)" in low or "at]" in low or " dot " in low:
             for m in _MAIL.finditer(text):
                 out.append(self._mail(text, m.start(), m.end(), by_field, field))
                 taken.append(m.span())
-        if has_digit:
-            for m in _STREET.finditer(text):
+        if numbers:
+            for m in _matches(_STREET, text, _street_starts(text, numbers)):
                 if not any(a < m.end() and m.start() < b for a, b in taken):
                     out.append(self._street(text, m.start(), m.end(), by_field, field))
                     taken.append(m.span())
-        if has_digit or _SPELLED.search(text):
-            for m in _NUMBER.finditer(text):
+        spelled = (not text.isascii() or sum(map(_DIGIT_SET.__contains__, words)) > 6) and _SPELLED.search(text)
+        if numbers or spelled:
+            for m in _NUMBER.finditer(text) if spelled else _matches(_NUMBER, text, _number_starts(text, numbers)):
                 start, end = m.span()
                 digits = sum(c.isdigit() for c in m[0])
                 if digits < 6 and not re.search(_DIGIT_WORDS, m[0]):
@@ -167,7 +220,7 @@ class Proposer:
                 if not any(a < end and start < b for a, b in taken):
                     out.append(self._number(text, start, end, by_field, field))
                     taken.append((start, end))
-        for start, end, why in self._names(text):
+        for start, end, why in self._names(text, not self.first.isdisjoint(words)):
             if not any(a < end and start < b for a, b in taken):
                 out.append(self._name(text, start, end, why, by_field, field))
                 taken.append((start, end))
@@ -235,11 +288,12 @@ class Proposer:
         )
         return self._row("street", text, start, end, votes, field, (f"t {last}", f"c {capital}"))
 
-    def _names(self, text: str) -> Iterator[tuple[int, int, str]]:
+    def _names(self, text: str, given_there: bool) -> Iterator[tuple[int, int, str]]:
+        """given_there: one of its runs of letters may begin a given name."""
         found: list[tuple[int, int, str]] = []
-        for why, pattern in (("title", _TITLED), ("initial", _INITIAL)):
-            found += [(*m.span(), why) for m in pattern.finditer(text)]
-        tokens = [(m.start(), m.end(), m[0].rstrip(".")) for m in _TOKEN.finditer(text)]
+        for why, pattern, at in (("title", _TITLED, _TITLED_AT), ("initial", _INITIAL, _INITIAL_AT)):
+            found += [(*m.span(), why) for m in _matches(pattern, text, (m.start() for m in at.finditer(text)))]
+        tokens = [(m.start(), m.end(), m[0].rstrip(".")) for m in _TOKEN.finditer(text)] if given_there else []
         given, i = self.given, 0
         while i < len(tokens):
             start, end, word = tokens[i]
